@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remap.functions.text import empty_to_null
+from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, broadcast_if_small
+from remap.session import materialize
 
 _MODES = ("inner", "left")
 
@@ -34,6 +36,16 @@ def crosswalk(
     return left.join(right, "__file", how).select("old_id", "owner_id")
 
 
+def shared_crosswalk(owners: DataFrame, limit: BroadcastLimit = DEFAULT_LIMIT) -> DataFrame:
+    """Write a crosswalk once for a batch of loads.
+
+    Every load then reads two narrow columns instead of joining the two owner
+    tables again, and joins them without a shuffle where the measured size
+    allows a broadcast.
+    """
+    return broadcast_if_small(materialize(owners, "crosswalk"), limit)
+
+
 def attach_owner(
     detail: DataFrame, owners: DataFrame, *, on: str = "old_id", how: str = "inner"
 ) -> DataFrame:
@@ -45,7 +57,7 @@ def attach_owner(
     """
     if how not in _MODES:
         raise ValueError(f"unknown crosswalk mode: {how}")
-    keyed = owners.select(F.col("old_id").alias("__old"), "owner_id")
+    keyed = owners.withColumnRenamed("old_id", "__old")
     return detail.join(keyed, detail[on] == keyed["__old"], how).drop("__old")
 
 

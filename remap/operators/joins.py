@@ -69,12 +69,13 @@ def join_on_key(
     return keyed.join(right, keyed["__key"] == right[right_key], how).drop("__key")
 
 
-def repeated_keys(df: DataFrame, keys: list[str | Column]) -> DataFrame:
+def repeated_keys(df: DataFrame, keys: list[str | Column], output: str = "n") -> DataFrame:
     """Keys that occur more than once, with their row count."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.where(F.col("__n") > 1).withColumnRenamed("__n", output)
 
 
 def require_unique(df: DataFrame, keys: list[str], what: str) -> None:
     """Raise where a key repeats; stops at the first one found."""
-    if repeated_keys(df, keys).limit(1).count():
+    if repeated_keys(df, keys, "__rows").limit(1).count():
         raise ValueError(f"{what}: key {keys} is not unique")

@@ -26,78 +26,96 @@ def first_per_key(df: DataFrame, keys: list[str | Column], order: list[Column])
 
 def number_rows(
     df: DataFrame,
-    order: list[Column],
+    order: list[Column] | None,
     *,
     within: list[str] | None = None,
+    key: list[str] | None = None,
     output: str = "position",
 ) -> DataFrame:
     """1-based position of each row in a total order, without a one-task window.
 
     Rows are range-partitioned and sorted, tagged with their partition and row,
-    and written once.  The rest is a running total over one count per
-    partition.  With ``within`` the count restarts for every group; a group
-    larger than a partition simply spans several.  ``order`` has to be total
-    (end it with a unique column) for the numbers to be repeatable.
+    and written once; the rest is a running total over one count per partition.
+    ``order`` has to be total (end it with a unique column) for the numbers to
+    be repeatable; ``None`` numbers the rows as they lie and skips the shuffle.
+
+    ``within`` restarts the count for every group; a group larger than a
+    partition simply spans several.  ``key`` names unique, never-NULL columns:
+    then only they and the order columns are sorted and written, and the
+    positions are joined back, which is cheaper for wide rows.
     """
     groups = within or []
-    sort = [F.col(g).asc_nulls_last() for g in groups] + list(order)
-    tagged = (
-        df.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("__tag", F.monotonically_increasing_id())
-    )
+    sort = [F.col(g).asc_nulls_last() for g in groups] + list(order or [])
+    tagged = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
+    tagged = tagged.withColumn("__tag", F.monotonically_increasing_id())
+    if key:
+        tagged = tagged.select(*dict.fromkeys([*groups, *key]), "__tag")
     stored = materialize(tagged, "numbered").withColumns(
         {
             "__part": F.shiftright("__tag", _ROW_BITS),
             "__row": F.col("__tag").bitwiseAND(F.lit(_ROW_MASK)),
         }
     )
-    if not groups:
-        # One row per partition: bounded by the number of partitions.
-        running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-        counts = stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-        offsets = counts.select(
-            F.col("__part").alias("__p"),
-            F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
-        )
-        joined = stored.join(F.broadcast(offsets), stored["__part"] == offsets["__p"])
-        position = F.col("__before") + F.col("__row") + 1
-    else:
-        # One row per group and partition it touches.
-        runs = stored.groupBy("__part", *groups).agg(
-            F.min("__row").alias("__start"), F.count(F.lit(1)).alias("__n")
-        )
-        running = (
-            Window.partitionBy(*groups)
-            .orderBy("__part")
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        runs = runs.select(
-            F.col("__part").alias("__p"),
-            *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
-            "__start",
-            F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
-        )
-        same = [stored[g].eqNullSafe(runs[f"__g{i}"]) for i, g in enumerate(groups)]
-        on = reduce(lambda a, b: a & b, same, stored["__part"] == runs["__p"])
-        joined = stored.join(runs, on)
-        position = F.col("__before") + F.col("__row") - F.col("__start") + 1
-    return joined.select(*df.columns, position.cast("bigint").alias(output))
+    joined, position = _group_offsets(stored, groups) if groups else _offsets(stored)
+    position = position.cast("bigint").alias(output)
+    if not key:
+        return joined.select(*df.columns, position)
+    places = joined.select(*[F.col(k).alias(f"__u{i}") for i, k in enumerate(key)], position)
+    on = reduce(lambda a, b: a & b, [df[k] == places[f"__u{i}"] for i, k in enumerate(key)])
+    return df.join(places, on).select(*[df[c] for c in df.columns], output)
+
+
+def _offsets(stored: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows joined to the rows before their partition: one row per partition."""
+    running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(
+        F.col("__part").alias("__p"),
+        F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
+    )
+    joined = stored.join(F.broadcast(offsets), stored["__part"] == offsets["__p"])
+    return joined, F.col("__before") + F.col("__row") + 1
+
+
+def _group_offsets(stored: DataFrame, groups: list[str]) -> tuple[DataFrame, Column]:
+    """Rows joined to their group's earlier rows: one row per group and partition."""
+    runs = stored.groupBy("__part", *groups).agg(
+        F.min("__row").alias("__start"), F.count(F.lit(1)).alias("__n")
+    )
+    running = (
+        Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    runs = runs.select(
+        F.col("__part").alias("__p"),
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
+        "__start",
+        F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"),
+    )
+    same = [stored[g].eqNullSafe(runs[f"__g{i}"]) for i, g in enumerate(groups)]
+    joined = stored.join(runs, reduce(lambda a, b: a & b, same, stored["__part"] == runs["__p"]))
+    return joined, F.col("__before") + F.col("__row") - F.col("__start") + 1
 
 
 def assign_ids(
-    df: DataFrame, order: list[Column], *, output: str = "id", start: int | Column = 1
+    df: DataFrame,
+    order: list[Column] | None = None,
+    *,
+    key: list[str] | None = None,
+    output: str = "id",
+    start: int | Column = 1,
 ) -> DataFrame:
-    """Dense surrogate ids from ``start`` on, in the stated order."""
-    numbered = number_rows(df, order, output="__pos")
+    """Dense surrogate ids from ``start`` on, in the stated order or in any."""
+    numbered = number_rows(df, order, key=key, output="__pos")
     first = F.lit(start) if isinstance(start, int) else start
     new_id = (first + F.col("__pos") - 1).cast("bigint").alias(output)
     return numbered.select(new_id, *df.columns)
 
 
-def paginate(df: DataFrame, order: list[Column], size: int = 20) -> DataFrame:
+def paginate(
+    df: DataFrame, order: list[Column], size: int = 20, key: list[str] | None = None
+) -> DataFrame:
     """Position and page number of every row."""
-    numbered = number_rows(df, order)
+    numbered = number_rows(df, order, key=key)
     page = F.ceil(F.col("position") / F.lit(size)).cast("bigint")
     return numbered.withColumn("page", page)
 

@@ -38,7 +38,7 @@ def history_by_job(
 ) -> DataFrame:
     """Each job's runs numbered newest first; equal times keep the log order."""
     order = [F.col(run_at).desc_nulls_last(), F.col(tie).asc_nulls_last()]
-    return number_rows(runs, order, within=[job], output=output)
+    return number_rows(runs, order, within=[job], key=[tie], output=output)
 
 
 def newest_first(
@@ -46,7 +46,7 @@ def newest_first(
 ) -> DataFrame:
     """Whole log numbered newest first; equal times keep the log order."""
     order = [F.col(run_at).desc_nulls_last(), F.col(tie).asc_nulls_last()]
-    return number_rows(df, order, output=output)
+    return number_rows(df, order, key=[tie], output=output)
 
 
 def search(df: DataFrame, keyword: str, columns: list[str], joined: bool = False) -> DataFrame:

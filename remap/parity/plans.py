@@ -16,18 +16,20 @@ from remap.functions import (
     oconcat,
     year_label,
 )
-from remap.operators.crosswalk import attach_owner, crosswalk
+from remap.operators.crosswalk import attach_owner, crosswalk, shared_crosswalk
 from remap.operators.joins import composite_join, top_value, with_one_row, with_scalar
 from remap.operators.lookup import CodeDim, Role, match_local_name
 from remap.operators.numbering import first_per_key
 from remap.parity.lists import _tokens
 from remap.parity.lookups import PLACE_PREFIXES, regions
 from remap.parity.registry import RUN_AT, query
+from remap.plans.batch import run_batch
 from remap.plans.mapping import AuditBlock
 from remap.plans.spec import ListLink, LoadSpec, OwnerLink, build, run
 from remap.plans.steps import split_teams
 from remap.session import new_path
 from remap.sinks import loads
+from remap.sources.runlog import HISTORY, read_records
 
 _AUDIT = AuditBlock(RUN_AT)
 _AUDIT_SQL = f"TIMESTAMP '{RUN_AT}' AS creation_time, CAST(0 AS int) AS is_deleted"
@@ -490,3 +492,38 @@ def _(t):
         [("load", result.target_table, result.insert_rows)], "step string, target_table string, n bigint"
     )
     return purged.select(F.lit("purge").alias("step"), "target_table", F.col("rows_deleted").alias("n")).unionByName(loaded)
+
+
+@query(
+    "load_batch",
+    f"""
+    SELECT CAST(1 AS bigint) AS id, CAST(11 AS bigint) AS stmt_id, 'load_open' AS job_name,
+           '{RUN_AT}' AS run_at, 'success' AS status, CAST(0 AS bigint) AS delete_rows,
+           count(*) AS insert_rows
+    FROM detail_old d JOIN party_old o ON o.old_id = d.old_id JOIN party_new n ON n.file_no = o.file_no
+    WHERE d.action = 'OPEN'
+    UNION ALL
+    SELECT 2, 12, 'load_failing', '{RUN_AT}', 'error', NULL, NULL
+    UNION ALL
+    SELECT 3, 11, 'load_open', '{RUN_AT}', 'success',
+           (SELECT count(*) FROM detail_old d JOIN party_old o ON o.old_id = d.old_id
+            JOIN party_new n ON n.file_no = o.file_no WHERE d.action = 'OPEN'),
+           (SELECT count(*) FROM detail_old d JOIN party_old o ON o.old_id = d.old_id
+            JOIN party_new n ON n.file_no = o.file_no WHERE d.action = 'OPEN')
+    """,
+)
+def _(t):
+    path = new_path(t.spark, "batch")
+    owners = OwnerLink(shared_crosswalk(crosswalk(t.party_old, t.party_new)))
+
+    def spec(target, **more):
+        columns = [("detail_id", "detail_id"), ("owner_id", "owner_id")]
+        return LoadSpec(target, t.detail_old, columns, _AUDIT, owner=owners, **more)
+
+    opened = spec("open", where="action = 'OPEN'", ids=True)
+    failing = spec("failing", where=F.assert_true(F.col("detail_id") < 0).isNull())
+    jobs = [(11, opened, f"{path}/open"), (12, failing, f"{path}/failing"), (11, opened, f"{path}/open")]
+    run_batch(t.spark, jobs, log_path=f"{path}/log", run_at=RUN_AT)
+    return read_records(t.spark, f"{path}/log/history", HISTORY).select(
+        "id", "stmt_id", "job_name", "run_at", "status", "delete_rows", "insert_rows"
+    )

@@ -162,7 +162,7 @@ def _(t):
 )
 def _(t):
     found = r.search(t.run_history, "job_1", ["job_name"]).select("id", "job_name")
-    return paginate(found, [F.col("job_name").asc_nulls_last(), F.col("id").asc()])
+    return paginate(found, [F.col("job_name").asc_nulls_last(), F.col("id").asc()], key=["id"])
 
 
 @query(

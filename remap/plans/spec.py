@@ -62,6 +62,7 @@ class LoadSpec:
     where: str | Column | None = None
     clear: str = "delete"
     full_audit: bool = False
+    ids: bool = False
     id_order: list[Column] | None = None
 
 
@@ -109,5 +110,11 @@ def run(spark: SparkSession, spec: LoadSpec, path: str) -> LoadResult:
     if load is None:
         raise ValueError(f"unknown clear mode: {spec.clear}")
     return load(
-        spark, lambda: build(spec), path, job=job, table=spec.target, id_order=spec.id_order
+        spark,
+        lambda: build(spec),
+        path,
+        job=job,
+        table=spec.target,
+        ids=spec.ids,
+        id_order=spec.id_order,
     )

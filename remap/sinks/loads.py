@@ -56,6 +56,7 @@ def reload_full(
     *,
     job: str,
     table: str,
+    ids: bool = False,
     id_order: list[Column] | None = None,
     id_column: str = "id",
     count_deleted: bool = True,
@@ -64,13 +65,14 @@ def reload_full(
 
     The old rows stay readable until the new table is complete.  A failing
     source leaves them untouched and gives an ``error`` result without counts.
-    ``id_order`` restarts the surrogate ids at 1 in that order.
+    ``ids`` restarts the surrogate ids at 1, in any order, which needs no
+    shuffle; ``id_order`` asks for ids in a stated order.
     """
     try:
         recover(spark, path)
         deleted = count_rows(spark, path) if count_deleted else None
         frame = build() if callable(build) else build
-        if id_order:
+        if ids or id_order:
             frame = assign_ids(frame, id_order, output=id_column)
         staged = stage(frame, path)
         inserted = count_rows(spark, staged)
