@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from remap.operators.joins import require_unique
 from remap.operators.numbering import assign_ids
-from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, broadcast_if_small
+from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, settled
 
 
 def merge_update(
@@ -76,7 +76,7 @@ def delete_by_ids(
     limit: BroadcastLimit = DEFAULT_LIMIT,
 ) -> DataFrame:
     """Rows whose key is not in the id set."""
-    drop = broadcast_if_small(ids.select(F.col(id_column).alias("__id")).distinct(), limit)
+    drop = settled(ids.select(F.col(id_column).alias("__id")).distinct(), "ids", limit)
     return df.join(drop, df[key] == drop["__id"], "left_anti")
 
 

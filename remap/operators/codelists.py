@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from remap.functions.lists import bracketed, split_codes
 from remap.functions.text import empty_to_null
 from remap.operators.lookup import CodeDim
-from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, broadcast_if_small
+from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, settled
 
 # A code table up to this many codes is folded into the plan as one constant.
 FOLD_ROWS = 2_000
@@ -78,9 +78,8 @@ def codes_to_ids(
         F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__found")
     )
     translated = translated.select("__list", F.transform("__found", lambda p: p["__id"]).alias("__ids"))
-    joined = df.join(
-        broadcast_if_small(translated, limit), df[column] == translated["__list"], "left"
-    )
+    translated = settled(translated, "lists", limit)
+    joined = df.join(translated, df[column] == translated["__list"], "left")
     return joined.select(*[df[c] for c in df.columns], _render(F.col("__ids"), form, by_id).alias(output))
 
 

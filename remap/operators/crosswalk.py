@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remap.functions.text import empty_to_null
-from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, broadcast_if_small
-from remap.session import materialize
+from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, settled
 
 _MODES = ("inner", "left")
 
@@ -43,7 +42,7 @@ def shared_crosswalk(owners: DataFrame, limit: BroadcastLimit = DEFAULT_LIMIT) -
     tables again, and joins them without a shuffle where the measured size
     allows a broadcast.
     """
-    return broadcast_if_small(materialize(owners, "crosswalk"), limit)
+    return settled(owners, "crosswalk", limit)
 
 
 def attach_owner(

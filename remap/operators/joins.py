@@ -30,7 +30,10 @@ def null_safe_join(
 def composite_join(
     left: DataFrame, right: DataFrame, keys: list[tuple[str, str | Column]], how: str = "left"
 ) -> DataFrame:
-    """Equi-join on several columns; right-hand keys are dropped."""
+    """Equi-join on several columns; right-hand keys are dropped.
+
+    Pass a right side that was grouped by the keys through ``sizing.settled``.
+    """
     names = [f"__c{i}" for i in range(len(keys))]
     side = right
     for name, (_, r) in zip(names, keys):

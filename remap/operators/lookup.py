@@ -14,6 +14,7 @@ from remap.operators.sizing import (
     broadcast_if_small,
     row_bytes,
 )
+from remap.session import materialize
 
 
 class DuplicateCode(ValueError):
@@ -93,7 +94,10 @@ class CodeDim:
         ).first()
         if self.duplicates == "error" and most > 1:
             raise DuplicateCode(f"column {self.code!r} repeats a code ({most} rows on one code)")
-        self._rows, self._small, self._prepared = rows, self.limit.allows(rows, size), live
+        self._rows, self._small = rows, self.limit.allows(rows, size)
+        if self.duplicates == "first" and not self._small:
+            live = materialize(live, "codes")  # see sizing.settled
+        self._prepared = live
 
 
 @dataclass(frozen=True)
@@ -112,14 +116,14 @@ def resolve_codes(df: DataFrame, roles: list[Role]) -> DataFrame:
     Row count is kept for optional roles on unique codes.  A code table used
     under several roles is broadcast once; Spark reuses the exchange.
     """
-    for i, role in enumerate(roles):
-        key = f"__k{i}"
+    keys = [f"__k{i}" for i in range(len(roles))]
+    for key, role in zip(keys, roles):
         side = role.dim.side().select(
             F.col("__code").alias(key), *[F.col(v).alias(o) for o, v in role.output.items()]
         )
         how = "inner" if role.required else "left"
-        df = df.join(side, role.dim.key(role.column) == side[key], how).drop(key)
-    return df
+        df = df.join(side, role.dim.key(role.column) == side[key], how)
+    return df.drop(*keys)
 
 
 def region_table(

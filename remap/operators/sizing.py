@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from remap.session import materialize
+
 
 @dataclass(frozen=True)
 class BroadcastLimit:
@@ -46,3 +48,13 @@ def measure(df: DataFrame) -> tuple[int, int]:
 def broadcast_if_small(df: DataFrame, limit: BroadcastLimit = DEFAULT_LIMIT) -> DataFrame:
     """Hint a broadcast where the measured size allows it."""
     return F.broadcast(df) if limit.allows(*measure(df)) else df
+
+
+def settled(df: DataFrame, label: str, limit: BroadcastLimit = DEFAULT_LIMIT) -> DataFrame:
+    """Write a grouped frame once and make it a join side.
+
+    A frame grouped by the join key is already partitioned by it, so Spark adds
+    no exchange of its own and cannot split a hot key of the other side.  Read
+    back from a table it is either broadcast or given that exchange.
+    """
+    return broadcast_if_small(materialize(df, label), limit)

@@ -13,6 +13,7 @@ from remap.operators.joins import (
     with_scalar,
 )
 from remap.operators.numbering import first_per_key
+from remap.operators.sizing import settled
 from remap.parity.registry import query
 from remap.plans.steps import header_with_count, scratch_id_map
 
@@ -68,6 +69,7 @@ def _(t):
         .agg(F.max("amount_due").alias("most"))
         .withColumnsRenamed({"old_id": "m_id", "year_no": "m_year"})
     )
+    money = settled(money, "money")
     out = composite_join(rows, money, [("old_id", "m_id"), ("year_no", "m_year")])
     return out.select("detail_id", "old_id", "year_no", "most")
 

@@ -20,6 +20,7 @@ from remap.operators.crosswalk import attach_owner, crosswalk, shared_crosswalk
 from remap.operators.joins import composite_join, top_value, with_one_row, with_scalar
 from remap.operators.lookup import CodeDim, Role, match_local_name
 from remap.operators.numbering import first_per_key
+from remap.operators.sizing import settled
 from remap.parity.lists import _tokens
 from remap.parity.lookups import PLACE_PREFIXES, regions
 from remap.parity.registry import RUN_AT, query
@@ -180,7 +181,9 @@ def _(t):
         .agg(F.max("amount_due").alias("due"), F.max("amount_paid").alias("paid"))
     )
     paid = composite_join(
-        rows.select("detail_id", "old_id", "year_no"), money, [("old_id", "m_id"), ("year_no", "m_year")]
+        rows.select("detail_id", "old_id", "year_no"),
+        settled(money, "money"),
+        [("old_id", "m_id"), ("year_no", "m_year")],
     )
     codes = CodeDim(t.code_dim)
     names = ["q1_id", "q2_id", "q3_id", "q4_id", "h1_id", "h2_id", "all_id"]
@@ -231,7 +234,7 @@ def _(t):
     live = CodeDim(t.code_dim, values=("title",), deleted="lenient", normalise=True)
     spec = LoadSpec(
         target="reductions",
-        source=details.join(first, "old_id", "left"),
+        source=details.join(settled(first, "first"), "old_id", "left"),
         owner=_owners(t),
         roles=[
             Role("code_a", live, {"a_title": "title"}),

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from remap.parity.views import BASE, VIEWS, spark_text, with_views
+from remap.parity.views import BASE, VIEWS, base_tables, with_views
 from remap.session import prepare
 
 RUN_AT = "2026-01-01 00:00:00"
 
 _queries: dict[str, Callable[["Tables"], DataFrame]] = {}
 _twins: dict[str, str] = {}
+_schemas: dict[tuple[str, str], T.StructType] = {}
 
 
 class Tables:
@@ -25,11 +26,23 @@ class Tables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS:
-            return _zoneless(self.spark.sql(spark_text(name, self.sf_dir)))
-        if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        raise AttributeError(name)
+        if name not in VIEWS and name not in BASE:
+            raise AttributeError(name)
+        frame = self._base(name) if name in BASE else self._view(name)
+        setattr(self, name, frame)
+        return frame
+
+    def _base(self, name: str) -> DataFrame:
+        """Base table; its schema is read from the file once per session."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _schemas:
+            _schemas[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_schemas[key]).parquet(path)
+
+    def _view(self, name: str) -> DataFrame:
+        used = {table: getattr(self, table) for table in base_tables(name)}
+        return _zoneless(self.spark.sql(VIEWS[name], **used))
 
 
 def _zoneless(df: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Input views: the shapes of the old and new schema laid over the base tables.
 
-One text serves both engines.  ``{table}`` stands for a base table; Spark gets
-its Parquet path, the SQL twin its plain name.
+One text serves both engines.  ``{table}`` stands for a base table: Spark binds
+the table's DataFrame to it, the SQL twin gets its plain name.
 """
 
 from __future__ import annotations
@@ -180,9 +180,9 @@ VIEWS: dict[str, str] = {
 _TABLE = re.compile(r"\{(\w+)\}")
 
 
-def spark_text(name: str, sf_dir: str) -> str:
-    """View text reading the Parquet files of ``sf_dir``."""
-    return _TABLE.sub(lambda m: f"parquet.`{sf_dir.rstrip('/')}/{m[1]}.parquet`", VIEWS[name])
+def base_tables(name: str) -> list[str]:
+    """Base tables a view reads."""
+    return sorted(set(_TABLE.findall(VIEWS[name])))
 
 
 def sql_text(name: str) -> str:

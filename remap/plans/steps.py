@@ -11,7 +11,7 @@ from remap.operators.changes import insert_if_absent, merge_update, update_where
 from remap.operators.joins import join_on_key, null_safe_join
 from remap.operators.lookup import CodeDim, Role, resolve_codes
 from remap.operators.numbering import assign_ids
-from remap.operators.sizing import broadcast_if_small
+from remap.operators.sizing import broadcast_if_small, settled
 
 
 def region_map(
@@ -37,7 +37,7 @@ def scratch_id_map(
     The new side is reduced to one row per business key before the join, so
     repeated headers cannot fan out.
     """
-    firsts = new.groupBy(*business).agg(F.min(new_id).alias("__new"))
+    firsts = settled(new.groupBy(*business).agg(F.min(new_id).alias("__new")), "firsts")
     return old.join(firsts, business).select(
         F.col(old_id).alias("old_id"), F.col("__new").alias("new_id")
     )
