@@ -13,8 +13,9 @@ from remap.functions.text import empty_to_null
 from remap.operators.lookup import CodeDim
 from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, settled
 
-# A code table up to this many codes is folded into the plan as one constant.
+# A code table up to this many codes and bytes is folded into the plan as one constant.
 FOLD_ROWS = 2_000
+FOLD_BYTES = 256 * 1024
 _BUCKET_ROWS = 8
 
 
@@ -65,7 +66,7 @@ def codes_to_ids(
     def tokens(c: str) -> Column:
         return split_codes(c, delimiters, trim=trim, blank=blank)
 
-    if dim.rows <= fold_rows and dim.duplicates != "all":
+    if dim.rows <= fold_rows and dim.size <= FOLD_BYTES and dim.duplicates != "all":
         look = _constant_reader(dim, value)
         ids = F.filter(F.transform(tokens(column), look), lambda i: i.isNotNull())
         return df.withColumn(output, _render(ids, form, by_id))

@@ -46,17 +46,24 @@ def shared_crosswalk(owners: DataFrame, limit: BroadcastLimit = DEFAULT_LIMIT) -
 
 
 def attach_owner(
-    detail: DataFrame, owners: DataFrame, *, on: str = "old_id", how: str = "inner"
+    detail: DataFrame,
+    owners: DataFrame,
+    *,
+    on: str = "old_id",
+    how: str = "inner",
+    strategy: str | None = None,
 ) -> DataFrame:
     """Add ``owner_id`` to detail rows.
 
     ``inner`` drops details whose owner is unknown, ``left`` keeps them.  The
     owner side is unique per old id, so a hot owner only makes the detail side
-    heavy, which the adaptive skew join splits for both modes.
+    heavy, which the adaptive skew join splits for both modes.  ``strategy`` is
+    a join hint such as ``shuffle_hash``; without one Spark chooses.
     """
     if how not in _MODES:
         raise ValueError(f"unknown crosswalk mode: {how}")
     keyed = owners.withColumnRenamed("old_id", "__old")
+    keyed = keyed.hint(strategy) if strategy else keyed
     return detail.join(keyed, detail[on] == keyed["__old"], how).drop("__old")
 
 

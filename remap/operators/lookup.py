@@ -17,6 +17,10 @@ from remap.operators.sizing import (
 from remap.session import materialize
 
 
+# Bytes all broadcasts of one star may take together on every executor.
+STAR_BUDGET = 512 * 1024 * 1024
+
+
 class DuplicateCode(ValueError):
     """A code table holds one code more than once."""
 
@@ -42,8 +46,8 @@ class CodeDim:
     order: str | None = None
     limit: BroadcastLimit = DEFAULT_LIMIT
     _prepared: DataFrame | None = field(default=None, repr=False)
-    _small: bool = field(default=False, repr=False)
     _rows: int = field(default=0, repr=False)
+    _size: int = field(default=0, repr=False)
 
     def key(self, c: Column | str) -> Column:
         return key_text(c) if self.normalise else empty_to_null(_text(c))
@@ -67,13 +71,23 @@ class CodeDim:
     def side(self) -> DataFrame:
         """The prepared table, hinted for broadcast where its size allows it."""
         table = self.table()
-        return F.broadcast(table) if self._small else table
+        return F.broadcast(table) if self.small else table
 
     @property
     def rows(self) -> int:
         self.table()
         return self._rows
 
+    @property
+    def size(self) -> int:
+        """Estimated bytes of the prepared table."""
+        self.table()
+        return self._size
+
+    @property
+    def small(self) -> bool:
+        return self.limit.allows(self.rows, self.size)
+
     def _prepare(self) -> None:
         live = self.live().select(self.key(self.code).alias("__code"), *self.values)
         live = live.where(F.col("__code").isNotNull())
@@ -94,8 +108,8 @@ class CodeDim:
         ).first()
         if self.duplicates == "error" and most > 1:
             raise DuplicateCode(f"column {self.code!r} repeats a code ({most} rows on one code)")
-        self._rows, self._small = rows, self.limit.allows(rows, size)
-        if self.duplicates == "first" and not self._small:
+        self._rows, self._size = int(rows), int(size)
+        if self.duplicates == "first" and not self.limit.allows(rows, size):
             live = materialize(live, "codes")  # see sizing.settled
         self._prepared = live
 
@@ -110,15 +124,21 @@ class Role:
     required: bool = False
 
 
-def resolve_codes(df: DataFrame, roles: list[Role]) -> DataFrame:
+def resolve_codes(
+    df: DataFrame, roles: list[Role], budget: int = STAR_BUDGET
+) -> DataFrame:
     """Star of lookups: one left join per role, inner where ``required``.
 
     Row count is kept for optional roles on unique codes.  A code table used
-    under several roles is broadcast once; Spark reuses the exchange.
+    under several roles is broadcast once; Spark reuses the exchange.  All
+    broadcasts of one star together stay under ``budget`` bytes: the smallest
+    tables go first, the rest are joined by shuffle.
     """
+    fits = _within_budget([role.dim for role in roles], budget)
     keys = [f"__k{i}" for i in range(len(roles))]
     for key, role in zip(keys, roles):
-        side = role.dim.side().select(
+        table = role.dim.side() if id(role.dim) in fits else role.dim.table()
+        side = table.select(
             F.col("__code").alias(key), *[F.col(v).alias(o) for o, v in role.output.items()]
         )
         how = "inner" if role.required else "left"
@@ -126,6 +146,17 @@ def resolve_codes(df: DataFrame, roles: list[Role]) -> DataFrame:
     return df.drop(*keys)
 
 
+def _within_budget(dims: list[CodeDim], budget: int) -> set[int]:
+    """Ids of the small code tables whose sizes add up to at most ``budget``."""
+    distinct = {id(d): d for d in dims if d.small}
+    fits, used = set(), 0
+    for key, dim in sorted(distinct.items(), key=lambda kv: kv[1].size):
+        used += dim.size
+        if used <= budget:
+            fits.add(key)
+    return fits
+
+
 def region_table(
     mapping: DataFrame,
     regions: DataFrame,

@@ -223,9 +223,8 @@ _FOLD = (
 def _(t):
     path = new_path(t.spark, "region_map")
     built = region_map(t.region_names_old.where("status = 1"), t.region_names_new)
-    loads.clone_schema(t.spark, built, path)
-    loads.append_load(built, path, job="region map", table="region_map")
-    return t.spark.read.parquet(path)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    return loads.rebuild_table(t.spark, name, built, path, "Old region to new region by name")
 
 
 _BUSINESS = ["action", "note", "code_a", "event_date"]

@@ -192,9 +192,9 @@ def _(t):
     """
     SELECT detail_id, CAST(detail_id AS string) AS id_text,
            CAST(CAST(floor(amount_due) AS bigint) AS string) AS amount_text,
-           CAST(CAST(floor(amount_due) AS bigint) AS decimal(38, 2)) AS amount_wide,
+           CAST(CAST(CAST(floor(amount_due) AS bigint) AS decimal(38, 2)) AS string) AS amount_wide,
            CAST(event_date AS timestamp) AS event_ts,
-           greatest(CAST(event_date AS date), DATE '1995-06-01') AS not_before,
+           CAST(greatest(CAST(event_date AS date), DATE '1995-06-01') AS timestamp) AS not_before,
            '0001-01-01 00:00:00' AS no_time
     FROM detail_old
     """,
@@ -206,11 +206,11 @@ def _(t):
         "detail_id",
         F.col("detail_id").cast("string").alias("id_text"),
         whole.cast("string").alias("amount_text"),
-        whole.cast("decimal(38,2)").alias("amount_wide"),
+        whole.cast("decimal(38,2)").cast("string").alias("amount_wide"),
         F.col("event_date").cast("timestamp_ntz").alias("event_ts"),
-        F.greatest(F.col("event_date").cast("date"), F.lit("1995-06-01").cast("date")).alias(
-            "not_before"
-        ),
+        F.greatest(F.col("event_date").cast("date"), F.lit("1995-06-01").cast("date"))
+        .cast("timestamp_ntz")
+        .alias("not_before"),
         F.date_format(sentinel, "yyyy-MM-dd HH:mm:ss").alias("no_time"),
     )
 

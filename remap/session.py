@@ -19,6 +19,7 @@ _RUNTIME = {
 }
 
 _fallback_dir: str | None = None
+_written: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -57,4 +58,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; call when a batch is done."""
+    from remap.sinks.files import remove
+
+    count = len(_written)
+    while _written:
+        remove(spark, _written.pop())
+    return count

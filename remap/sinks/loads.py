@@ -134,6 +134,26 @@ def clone_schema(spark: SparkSession, source: DataFrame, path: str) -> DataFrame
     return spark.read.parquet(path)
 
 
+def rebuild_table(
+    spark: SparkSession, name: str, frame: DataFrame, path: str, comment: str
+) -> DataFrame:
+    """Drop a catalog table, create it empty, fill it and comment on it.
+
+    ``path`` has to be new; the files of the dropped table are left alone.
+    """
+    quoted = ".".join(f"`{part}`" for part in name.split("."))
+    spark.sql(f"DROP TABLE IF EXISTS {quoted}")
+    empty_like(spark, frame.schema).write.option("path", path).saveAsTable(name)
+    frame.write.insertInto(name)
+    spark.sql(f"COMMENT ON TABLE {quoted} IS {_literal(comment)}")
+    return spark.table(name)
+
+
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def _first_line(err: Exception) -> str:
     text = str(err).strip()
     return text.splitlines()[0] if text else type(err).__name__

@@ -254,3 +254,23 @@ def test_batch_logs_every_job(spark, spec):
     ]
     ledger = read_records(spark, f"{path}/log/ledger", DELETE_LEDGER)
     assert rows(ledger.select("id", "stmt_id", "rows_deleted")) == [(1, 1, 0), (2, 1, 2)]
+
+
+def test_rebuild_table_replaces_and_comments(spark):
+    name = new_path(spark, "map").rsplit("/", 1)[1].replace("-", "_")
+    for n in (3, 2):
+        out = loads.rebuild_table(spark, name, spark.range(n), new_path(spark, "map"), "it's a \\ map")
+        assert out.count() == n
+    details = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    assert details["Comment"] == "it's a \\ map"
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_release_removes_intermediate_tables(spark):
+    from remap import session
+
+    session.release(spark)
+    kept = session.materialize(spark.range(3), "x")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert files.exists(spark, path) and session.release(spark) == 1
+    assert not files.exists(spark, path) and session.release(spark) == 0

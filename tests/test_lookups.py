@@ -152,3 +152,21 @@ def test_local_name_inside_region(spark):
         df, places, name="ward", region="reg", prefixes=["Xã", "Phường"], output="pid"
     )
     assert rows(out.select("k", "pid")) == [("a", 1), ("b", 2), ("c", None), ("d", None), ("e", None)]
+
+
+def test_star_stays_within_its_broadcast_budget(spark, coded):
+    big = CodeDim(spark.range(1000).selectExpr("id", "cast(id AS string) AS code"))
+    small = CodeDim(spark.createDataFrame([(1, "a")], "id bigint, code string"))
+    roles = [Role("code", big, {"x": "id"}), Role("code", small, {"y": "id"})]
+    from remap.operators.lookup import _within_budget
+
+    assert _within_budget([big, small, big], small.size) == {id(small)}
+    assert _within_budget([big, small], big.size + small.size) == {id(big), id(small)}
+    out = resolve_codes(coded, roles, budget=small.size)
+    assert rows(out.select("r", "x", "y"))[0] == (1, None, 1)
+
+
+def test_join_strategy_hint(owners):
+    detail, old, new = owners
+    out = attach_owner(detail, crosswalk(old, new), strategy="shuffle_hash")
+    assert "ShuffledHashJoin" in plan(out)
