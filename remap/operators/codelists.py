@@ -74,7 +74,7 @@ def codes_to_ids(
     lists = df.select(F.col(column).alias("__list")).where(F.col("__list").isNotNull()).distinct()
     codes = lists.select("__list", F.posexplode(tokens("__list")).alias("__pos", "__token"))
     side = dim.side().select(F.col("__code"), F.col(value).alias("__id"))
-    found = codes.join(side, dim.key("__token") == side["__code"])
+    found = codes.join(side, dim.probe("__token") == side["__code"])
     translated = found.groupBy("__list").agg(
         F.array_sort(F.collect_list(F.struct("__pos", "__id"))).alias("__found")
     )
@@ -116,4 +116,4 @@ def _constant_reader(dim: CodeDim, value: str):
         maps[b][code] = v
     schema = T.ArrayType(T.MapType(T.StringType(), table.schema[value].dataType))
     constant = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, default=str)), schema)
-    return lambda t: F.try_element_at(F.get(constant, bucket(dim.key(t))), dim.key(t))
+    return lambda t: F.try_element_at(F.get(constant, bucket(dim.probe(t))), dim.probe(t))

@@ -20,10 +20,15 @@ def null_safe_join(
 
     ``tolerant`` pairs use ``<=>``, so no sentinel can collide with real data;
     ``strict`` pairs use ``=`` and never match on NULL.  Both kinds stay
-    equi-join keys in the plan.
+    equi-join keys in the plan.  A hash over all columns leads the keys, so
+    rows are sorted by one number and the wide comparison runs only on ties.
     """
+    pairs = [*tolerant, *strict]
     terms = [left[a].eqNullSafe(right[b]) for a, b in tolerant]
     terms += [left[a] == right[b] for a, b in strict]
+    if len(pairs) > 1 and all(left.schema[a].dataType == right.schema[b].dataType for a, b in pairs):
+        mine, theirs = [left[a] for a, _ in pairs], [right[b] for _, b in pairs]
+        terms.insert(0, F.xxhash64(*mine) == F.xxhash64(*theirs))
     return left.join(right, reduce(lambda a, b: a & b, terms), how)
 
 

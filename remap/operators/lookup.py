@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remap.functions.text import empty_to_null, key_text, strip_prefix
 from remap.operators.sizing import (
@@ -50,8 +51,14 @@ class CodeDim:
     _size: int = field(default=0, repr=False)
 
     def key(self, c: Column | str) -> Column:
+        """Code as stored in the prepared table: text, empty as NULL."""
         return key_text(c) if self.normalise else empty_to_null(_text(c))
 
+    def probe(self, c: Column | str) -> Column:
+        """Code on the looked-up side.  No stored code is empty, so an empty one
+        needs no NULL test to miss."""
+        return F.trim(_text(c)) if self.normalise else _text(c)
+
     def live(self) -> DataFrame:
         """Rows the soft-delete rule keeps."""
         if self.deleted == "strict":
@@ -137,12 +144,18 @@ def resolve_codes(
     fits = _within_budget([role.dim for role in roles], budget)
     keys = [f"__k{i}" for i in range(len(roles))]
     for key, role in zip(keys, roles):
-        table = role.dim.side() if id(role.dim) in fits else role.dim.table()
-        side = table.select(
-            F.col("__code").alias(key), *[F.col(v).alias(o) for o, v in role.output.items()]
-        )
-        how = "inner" if role.required else "left"
-        df = df.join(side, role.dim.key(role.column) == side[key], how)
+        code, probe = F.col("__code"), role.dim.probe(role.column)
+        column = F.col(role.column) if isinstance(role.column, str) else role.column
+        side = role.dim.table()
+        if isinstance(df.select(column).schema[0].dataType, T.IntegralType):
+            # A number equals a code only where the code is that number's text,
+            # so both sides can stay numbers: no text is built per row.
+            number = code.try_cast("bigint")
+            side = side.where(number.cast("string") == code)
+            code, probe = number, column.cast("bigint")
+        side = side.select(code.alias(key), *[F.col(v).alias(o) for o, v in role.output.items()])
+        side = F.broadcast(side) if id(role.dim) in fits else side
+        df = df.join(side, probe == side[key], "inner" if role.required else "left")
     return df.drop(*keys)
 
 

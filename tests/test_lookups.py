@@ -170,3 +170,14 @@ def test_join_strategy_hint(owners):
     detail, old, new = owners
     out = attach_owner(detail, crosswalk(old, new), strategy="shuffle_hash")
     assert "ShuffledHashJoin" in plan(out)
+
+
+def test_number_column_meets_text_codes(spark):
+    dim = spark.createDataFrame(
+        [(1, "7"), (2, "007"), (3, " 8 "), (4, "x"), (5, "-1"), (6, "1.0")], "id bigint, code string"
+    )
+    df = spark.createDataFrame([(7,), (8,), (-1,), (1,), (None,)], "n int")
+    plain = resolve_codes(df, [Role("n", CodeDim(dim), {"v": "id"})])
+    assert rows(plain) == [(-1, 5), (1, None), (7, 1), (8, None), (None, None)]
+    trimmed = resolve_codes(df, [Role("n", CodeDim(dim, normalise=True), {"v": "id"})])
+    assert rows(trimmed) == [(-1, 5), (1, None), (7, 1), (8, 3), (None, None)]
