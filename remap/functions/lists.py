@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from remap.functions.text import _col, empty_to_null
 
 
+def split_raw(c: Column | str, delimiters: str = ";") -> Column:
+    """Array of everything between the delimiters; NULL and ``''`` give NULL.
+
+    Several delimiters are first mapped to one, so the text is split at a
+    single character instead of by a pattern.
+    """
+    first, rest = delimiters[0], delimiters[1:]
+    text = empty_to_null(c)
+    if rest:
+        text = F.translate(text, rest, first * len(rest))
+    return F.split(text, first if first.isalnum() or first == " " else "\\" + first)
+
+
 def split_codes(
     c: Column | str, delimiters: str = ";", trim: bool = True, blank: str = "skip"
 ) -> Column:
@@ -19,8 +32,7 @@ def split_codes(
     """
     if blank not in ("skip", "stop", "keep"):
         raise ValueError(f"unknown blank rule: {blank}")
-    pieces = F.split(empty_to_null(c), f"[{delimiters}]")
-    tokens = F.filter(pieces, lambda t: t != "")
+    tokens = F.filter(split_raw(c, delimiters), lambda t: t != "")
     if blank == "skip":
         tokens = F.filter(tokens, lambda t: F.trim(t) != "")
     elif blank == "stop":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from remap.functions.lists import bracketed, split_codes
+from remap.functions.lists import bracketed, split_codes, split_raw
 from remap.functions.text import empty_to_null
 from remap.operators.lookup import CodeDim
 from remap.operators.sizing import DEFAULT_LIMIT, BroadcastLimit, settled
@@ -67,8 +67,11 @@ def codes_to_ids(
         return split_codes(c, delimiters, trim=trim, blank=blank)
 
     if dim.rows <= fold_rows and dim.size <= FOLD_BYTES and dim.duplicates != "all":
+        # Blank tokens meet no code, so trimmed ones need no filter of their own.
+        plain = (trim and blank != "stop") or blank == "keep"
+        pieces = split_raw(column, delimiters) if plain else tokens(column)
         look = _constant_reader(dim, value)
-        ids = F.filter(F.transform(tokens(column), look), lambda i: i.isNotNull())
+        ids = F.transform(pieces, lambda t: look(F.trim(t) if trim else t))
         return df.withColumn(output, _render(ids, form, by_id))
 
     lists = df.select(F.col(column).alias("__list")).where(F.col("__list").isNotNull()).distinct()
@@ -85,9 +88,10 @@ def codes_to_ids(
 
 
 def _render(ids: Column, form: str, by_id: bool) -> Column:
+    """Text of an id array; NULL ids are left out."""
     if by_id:
         ids = F.array_sort(F.array_distinct(ids))
-    text = empty_to_null(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","))
+    text = empty_to_null(F.array_join(ids.cast("array<string>"), ","))
     if by_id:
         return F.when(text.isNotNull(), bracketed(text))
     if form == "bracketed":
