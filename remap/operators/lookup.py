@@ -49,6 +49,7 @@ class CodeDim:
     _prepared: DataFrame | None = field(default=None, repr=False)
     _rows: int = field(default=0, repr=False)
     _size: int = field(default=0, repr=False)
+    _hashed: bool = field(default=False, repr=False)
 
     def key(self, c: Column | str) -> Column:
         """Code as stored in the prepared table: text, empty as NULL."""
@@ -91,6 +92,12 @@ class CodeDim:
         self.table()
         return self._size
 
+    @property
+    def hashed(self) -> bool:
+        """True where no two rows share the 64-bit hash of their code."""
+        self.table()
+        return self._hashed
+
     @property
     def small(self) -> bool:
         return self.limit.allows(self.rows, self.size)
@@ -104,18 +111,19 @@ class CodeDim:
             live = live.groupBy("__code").agg(packed).select("__code", "v.*")
         elif self.duplicates not in ("error", "all"):
             raise ValueError(f"unknown duplicate rule: {self.duplicates}")
-        # One pass answers three questions: rows, bytes, most rows on one code.
-        per_code = live.groupBy("__code").agg(
+        # One pass answers three questions: rows, bytes, most rows on one hash.
+        per_hash = live.groupBy(F.xxhash64("__code")).agg(
             F.count(F.lit(1)).alias("n"), F.sum(row_bytes(live)).alias("b")
         )
-        rows, size, most = per_code.agg(
+        rows, size, most = per_hash.agg(
             F.coalesce(F.sum("n"), F.lit(0)),
             F.coalesce(F.sum("b"), F.lit(0)),
             F.coalesce(F.max("n"), F.lit(0)),
         ).first()
         if self.duplicates == "error" and most > 1:
-            raise DuplicateCode(f"column {self.code!r} repeats a code ({most} rows on one code)")
-        self._rows, self._size = int(rows), int(size)
+            # Either one code repeats, or (hardly ever) two codes share a hash.
+            require_unique_code(live, self.code)
+        self._rows, self._size, self._hashed = int(rows), int(size), most <= 1
         if self.duplicates == "first" and not self.limit.allows(rows, size):
             live = materialize(live, "codes")  # see sizing.settled
         self._prepared = live
@@ -140,11 +148,17 @@ def resolve_codes(
     under several roles is broadcast once; Spark reuses the exchange.  All
     broadcasts of one star together stay under ``budget`` bytes: the smallest
     tables go first, the rest are joined by shuffle.
+
+    Broadcast text codes are joined by their 64-bit hash and compared as text
+    afterwards: a number key is several times cheaper to look up, and since the
+    hashes of a code table are checked to be distinct, the one candidate either
+    is the code or there is none.
     """
     fits = _within_budget([role.dim for role in roles], budget)
     keys = [f"__k{i}" for i in range(len(roles))]
     for key, role in zip(keys, roles):
         code, probe = F.col("__code"), role.dim.probe(role.column)
+        fit, hit = id(role.dim) in fits, None
         column = F.col(role.column) if isinstance(role.column, str) else role.column
         side = role.dim.table()
         if isinstance(df.select(column).schema[0].dataType, T.IntegralType):
@@ -153,10 +167,27 @@ def resolve_codes(
             number = code.try_cast("bigint")
             side = side.where(number.cast("string") == code)
             code, probe = number, column.cast("bigint")
-        side = side.select(code.alias(key), *[F.col(v).alias(o) for o, v in role.output.items()])
-        side = F.broadcast(side) if id(role.dim) in fits else side
+        elif fit and role.dim.hashed:
+            side, text = side.withColumn(f"{key}t", code), probe
+            hit = text == F.col(f"{key}t")
+            code, probe = F.xxhash64(code), F.xxhash64(probe)
+        extra = [] if hit is None else [f"{key}t"]
+        outputs = [F.col(v).alias(o) for o, v in role.output.items()]
+        side = side.select(code.alias(key), *extra, *outputs)
+        side = F.broadcast(side) if fit else side
         df = df.join(side, probe == side[key], "inner" if role.required else "left")
-    return df.drop(*keys)
+        if hit is not None and role.required:
+            # Not a bare equality, which would become a second (text) join key.
+            df = df.where(F.coalesce(hit, F.lit(False)))
+        elif hit is not None:
+            df = df.withColumns({o: F.when(hit, F.col(o)) for o in role.output})
+    return df.drop(*keys, *[f"{key}t" for key in keys])
+
+
+def require_unique_code(codes: DataFrame, name: str) -> None:
+    most = codes.groupBy("__code").count().agg(F.max("count")).first()[0]
+    if most > 1:
+        raise DuplicateCode(f"column {name!r} repeats a code ({most} rows on one code)")
 
 
 def _within_budget(dims: list[CodeDim], budget: int) -> set[int]:

@@ -181,3 +181,28 @@ def test_number_column_meets_text_codes(spark):
     assert rows(plain) == [(-1, 5), (1, None), (7, 1), (8, None), (None, None)]
     trimmed = resolve_codes(df, [Role("n", CodeDim(dim, normalise=True), {"v": "id"})])
     assert rows(trimmed) == [(-1, 5), (1, None), (7, 1), (8, 3), (None, None)]
+
+
+def test_shared_hash_falls_back_to_text(spark, coded, dim):
+    """A code table with two codes on one hash is joined by text instead."""
+    codes = CodeDim(dim)
+    assert codes.hashed
+    fast = rows(resolve_codes(coded, [Role("code", codes, {"v": "id"})]))
+    codes._hashed = False
+    assert rows(resolve_codes(coded, [Role("code", codes, {"v": "id"})])) == fast
+    assert not CodeDim(dim.union(dim), duplicates="all").hashed
+
+
+def test_hash_candidate_with_other_text_is_no_match(spark, monkeypatch):
+    """Force every hash to collide: text decides, rows stay whole."""
+    from pyspark.sql import functions as F
+
+    one = CodeDim(spark.createDataFrame([(1, "a")], "id bigint, code string"))
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "r int, code string")
+    one.table()
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(42).cast("bigint") + F.length(c[0]) * 0)
+    left = resolve_codes(df, [Role("code", one, {"v": "id"})])
+    inner = resolve_codes(df, [Role("code", one, {"v": "id"}, required=True)])
+    monkeypatch.undo()
+    assert rows(left.select("r", "v")) == [(1, 1), (2, None), (3, None)]
+    assert rows(inner.select("r", "v")) == [(1, 1)]
