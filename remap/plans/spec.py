@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from remap.functions.dates import duration_parts
 from remap.operators.codelists import codes_to_ids, explode_rows
