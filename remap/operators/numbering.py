@@ -42,7 +42,8 @@ def number_rows(
     ``within`` restarts the count for every group; a group larger than a
     partition simply spans several.  ``key`` names unique, never-NULL columns:
     then only they and the order columns are sorted and written, and the
-    positions are joined back, which is cheaper for wide rows.
+    positions are joined back.  That pays for wide rows read straight from a
+    table; rows that are costly to compute are better written once as a whole.
     """
     groups = within or []
     sort = [F.col(g).asc_nulls_last() for g in groups] + list(order or [])
