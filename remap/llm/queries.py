@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from remap.llm import language
+from remap.llm.language import held_out
 from remap.llm.texts import table
 from remap.llm.url_filter import SiteRule, judge_urls
 
@@ -19,6 +22,13 @@ SITE_RULES = [
 BLOCK_GLOBS = ["*.ads-track.*#*", "*.spam-farm.*#*", "*#*/ads/*", "*#*.exe"]
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of ``documents``, learned from three quarters of the ids."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
+    model = language.train(documents.where(~F.col("held_out")).drop("source"))
+    return language.identify(documents, model, "text", ["doc_id", "held_out"])
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every url of ``pages``."""
     pages = table(spark, sf_dir, "pages")
@@ -53,6 +63,7 @@ OP4_SQL = r"""
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
 }
 _SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
