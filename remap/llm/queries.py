@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remap.llm import language
+from remap.llm import language, toxicity
 from remap.llm.language import held_out
 from remap.llm.texts import table
 from remap.llm.url_filter import SiteRule, judge_urls
@@ -22,6 +22,14 @@ SITE_RULES = [
 BLOCK_GLOBS = ["*.ads-track.*#*", "*.spam-farm.*#*", "*#*/ads/*", "*#*.exe"]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learned from two thirds of the labelled ids."""
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 3, 1))
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 3, 1))
+    model = toxicity.train(documents.where(~F.col("held_out")), labels)
+    return toxicity.score(documents, model, "text", ["doc_id", "held_out"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text of ``documents``, learned from three quarters of the ids."""
     documents = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
@@ -63,6 +71,7 @@ OP4_SQL = r"""
 """
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
 }
