@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remap.llm import language, toxicity
+from remap.llm.decontamination import find_overlaps
 from remap.llm.language import held_out
 from remap.llm.texts import table
 from remap.llm.url_filter import SiteRule, judge_urls
@@ -70,12 +71,51 @@ OP4_SQL = r"""
     FROM ruled
 """
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text of ``documents`` that lie in a window of ``benchmark``."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return find_overlaps(documents, benchmark, ["doc_id"]).drop("items", "spans")
+
+
+OP5_SQL = r"""
+    WITH doc AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM documents),
+    item AS (
+        SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM benchmark),
+    item_window AS (
+        SELECT DISTINCT item_id, least(10, len(words)) AS size,
+               array_to_string(words[i : i + least(10, len(words)) - 1], ' ') AS gram
+        FROM item, unnest(generate_series(1, greatest(len(words) - 9, 1))) AS t(i)
+        WHERE len(words) > 0),
+    doc_window AS (
+        SELECT doc_id, i, size, array_to_string(words[i : i + size - 1], ' ') AS gram
+        FROM doc, (SELECT DISTINCT size FROM item_window), unnest(generate_series(1, len(words) - size + 1)) AS t(i)),
+    hit AS (SELECT doc_id, item_id, i, size FROM doc_window JOIN item_window USING (size, gram)),
+    covered AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM hit, unnest(generate_series(i, i + size - 1)) AS t(place) GROUP BY doc_id),
+    listed AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_decontamination": op5_decontamination,
 }
-_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL}
+_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
