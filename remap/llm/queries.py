@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,9 @@ from remap.llm import language, toxicity
 from remap.llm.decontamination import find_overlaps
 from remap.llm.language import held_out
 from remap.llm.texts import table
+from remap.llm.tokens import tokenizer_spec
 from remap.llm.url_filter import SiteRule, judge_urls
+from remap.llm.vector_packing import pack_documents
 
 # Site rules of the url contract, and the globs of this library.
 SITE_RULES = [
@@ -109,11 +112,18 @@ OP5_SQL = r"""
     FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every text of ``documents`` in sequences of at most 1024 tokens."""
+    tokenizer = tokenizer_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
+    "op7_packing": op7_packing,
 }
 _SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
 
