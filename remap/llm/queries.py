@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from remap.llm import language, toxicity
 from remap.llm.decontamination import find_overlaps
+from remap.llm.digest import compare_with_next
 from remap.llm.language import held_out
 from remap.llm.texts import table
+from remap.llm.token_matrix import pack_matrix
 from remap.llm.tokens import tokenizer_spec
 from remap.llm.url_filter import SiteRule, judge_urls
 from remap.llm.vector_packing import pack_documents
@@ -118,12 +120,25 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op9_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` as rows of a packed token-id matrix."""
+    tokenizer = tokenizer_spec(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_matrix(table(spark, sf_dir, "documents"), tokenizer)
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text of ``documents``, of its edited text, and their likeness."""
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op9_token_matrix": op9_token_matrix,
+    "op10_fingerprint": op10_fingerprint,
 }
 _SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
 
