@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remap.llm.texts import buffers, mix64, slices
+from remap.llm.texts import buffers, ended_buckets, mix64, slices
 
 WIDTH = 16  # bytes in a window, and windows in a run
 POINTS = 4  # a feature has won at least so many runs
@@ -206,27 +206,6 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.mapInArrow(run, f"id {id_type}, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def in_order(df: DataFrame, id_col: str, tie_col: str, buckets: int) -> DataFrame:
-    """Rows in buckets of ascending ids, sorted, each bucket ended by the next one's first rows.
-
-    Adds ``bucket`` and ``ahead``: 1 marks a row that stands in this bucket only to end
-    it.  The last bucket is ended by the rows of the least id.  Null ids come first.
-    Only the bounds reach the driver: an id per bucket, from a quantile sketch.
-    """
-    shares = [i / buckets for i in range(1, buckets)]
-    least, cuts = df.agg(F.min(id_col), F.percentile_approx(id_col, shares or [0.5], 100_000)).first()
-    cuts = sorted(set(cuts or ()) - {least}) if shares else []
-    bounds = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
-    rows = df.withColumn("bucket", F.size(F.filter(bounds, lambda c: c <= F.col(id_col)))).withColumn("ahead", F.lit(0))
-    if least is not None:
-        ends = {least: len(cuts)} | {c: i for i, c in enumerate(cuts)}  # the bucket that each bound ends
-        before = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])
-        first = df.where(F.col(id_col).isin(list(ends)))
-        rows = rows.unionByName(first.withColumn("bucket", before[F.col(id_col)]).withColumn("ahead", F.lit(1)))
-    spread = rows.repartitionById(len(cuts) + 1, F.col("bucket").cast("int"))
-    return spread.sortWithinPartitions("bucket", "ahead", id_col, tie_col)
-
-
 def edited(text: str, following: str) -> str:
     """The last quarter of ``text`` (rounded down) replaced by as much of the start of ``following``."""
     part = len(text) // 4
@@ -246,7 +225,9 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = df.sparkSession
     ranks = fit_ranks(df, text_col)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    ordered = in_order(rows, "id", "text", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bucketed, buckets = ended_buckets(rows, "id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = bucketed.repartitionById(buckets, F.col("bucket").cast("int"))
+    ordered = spread.sortWithinPartitions("bucket", "ahead", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows still without the next one: the last of the batch before

@@ -12,6 +12,7 @@ from remap.llm import language, toxicity
 from remap.llm.decontamination import find_overlaps
 from remap.llm.digest import compare_with_next
 from remap.llm.language import held_out
+from remap.llm.preference import preference_examples, swapped_replies
 from remap.llm.texts import table
 from remap.llm.token_matrix import pack_matrix
 from remap.llm.tokens import tokenizer_spec
@@ -120,6 +121,59 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
+def op8_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with the next conversation's last reply.
+
+    The loss ranges are written as ``start:end``, comma-joined.
+    """
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "pair_id")
+    pairs = preference_examples(turns, swapped_replies(turns))
+    ranges = {
+        c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+        for c in ("chosen_loss", "rejected_loss")
+    }
+    return pairs.withColumns(ranges).withColumnRenamed("pair_id", "conv_id")
+
+
+OP8_SQL = r"""
+    WITH final AS (
+        SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+    reply AS (
+        SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations
+        JOIN final USING (conv_id, turn) WHERE role = 'assistant'),
+    swap AS (
+        SELECT conv_id, turn, coalesce(lead(text) OVER (ORDER BY conv_id), first_value(text) OVER (ORDER BY conv_id)) AS other
+        FROM reply),
+    turns AS (
+        SELECT c.conv_id, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS place, c.role,
+               coalesce(c.text, '') AS text, coalesce(s.other, c.text, '') AS other
+        FROM conversations AS c LEFT JOIN swap AS s ON c.conv_id = s.conv_id AND c.turn = s.turn),
+    cut AS (
+        SELECT conv_id, coalesce(min(place) FILTER (text <> other) - 1, count(*)) AS common, count(*) AS size
+        FROM turns GROUP BY conv_id),
+    sides AS (
+        SELECT conv_id, place, role, common, size,
+               '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS mine,
+               '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS theirs
+        FROM turns JOIN cut USING (conv_id)),
+    placed AS (
+        SELECT *, coalesce(sum(length(mine)) FILTER (place > common) OVER w, 0) AS mine_end,
+                  coalesce(sum(length(theirs)) FILTER (place > common) OVER w, 0) AS theirs_end
+        FROM sides WINDOW w AS (PARTITION BY conv_id ORDER BY place))
+    SELECT conv_id,
+           coalesce(string_agg(mine, '' ORDER BY place) FILTER (place <= common), '') AS prompt,
+           coalesce(string_agg(mine, '' ORDER BY place) FILTER (place > common), '') AS chosen,
+           coalesce(string_agg(theirs, '' ORDER BY place) FILTER (place > common), '') AS rejected,
+           CAST(max(common) AS INTEGER) AS prompt_turns,
+           coalesce(string_agg((mine_end - length(mine) + 5 + length(role)) || ':' || (mine_end - 1), ',' ORDER BY place)
+                    FILTER (place > common AND role = 'assistant'), '') AS chosen_loss,
+           coalesce(string_agg((theirs_end - length(theirs) + 5 + length(role)) || ':' || (theirs_end - 1), ',' ORDER BY place)
+                    FILTER (place > common AND role = 'assistant'), '') AS rejected_loss,
+           max(common) < max(size) AS differs
+    FROM placed GROUP BY conv_id
+"""
+
+
 def op9_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` as rows of a packed token-id matrix."""
     tokenizer = tokenizer_spec(public_tokenizers.path("byte_bpe_50k.json"))
@@ -137,10 +191,11 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op7_packing": op7_packing,
+    "op8_preference_format": op8_preference_format,
     "op9_token_matrix": op9_token_matrix,
     "op10_fingerprint": op10_fingerprint,
 }
-_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL}
+_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_preference_format": OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

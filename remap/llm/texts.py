@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from remap.session import prepare
 
@@ -133,3 +134,24 @@ def parse(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 def binary(arrays: list[np.ndarray]) -> pa.Array:
     """A binary column with each array's bytes."""
     return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def ended_buckets(df: DataFrame, id_col: str, buckets: int) -> tuple[DataFrame, int]:
+    """Rows dealt into buckets of ascending ids, each bucket ended by the next one's first rows.
+
+    Adds ``bucket`` and ``ahead``: 1 marks a row that stands in this bucket only to end
+    it, so each row's follower is in its own bucket.  The last bucket is ended by the
+    rows of the least id.  Null ids come first.  Only the bounds reach the driver: an id
+    per bucket, from a quantile sketch.  Also returns the number of buckets.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    least, cuts = df.agg(F.min(id_col), F.percentile_approx(id_col, shares or [0.5], 100_000)).first()
+    cuts = sorted(set(cuts or ()) - {least}) if shares else []
+    bounds = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
+    rows = df.withColumn("bucket", F.size(F.filter(bounds, lambda c: c <= F.col(id_col)))).withColumn("ahead", F.lit(0))
+    if least is not None:
+        ends = {least: len(cuts)} | {c: i for i, c in enumerate(cuts)}  # the bucket that each bound ends
+        before = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])
+        first = df.where(F.col(id_col).isin(list(ends)))
+        rows = rows.unionByName(first.withColumn("bucket", before[F.col(id_col)]).withColumn("ahead", F.lit(1)))
+    return rows, len(cuts) + 1
