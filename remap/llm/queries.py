@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from remap.llm import language, toxicity
 from remap.llm.decontamination import find_overlaps
 from remap.llm.digest import compare_with_next
+from remap.llm.jaccard_join import join_near
 from remap.llm.language import held_out
 from remap.llm.preference import preference_examples, swapped_replies
 from remap.llm.texts import table
@@ -115,6 +116,40 @@ OP5_SQL = r"""
     FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies, near copies and links of every text of ``documents``."""
+    return join_near(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+    WITH RECURSIVE doc AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+        FROM documents),
+    kind AS (
+        SELECT words, min(doc_id) AS rep, count(*) AS n_copies FROM doc WHERE len(words) > 0 GROUP BY words),
+    gram AS (
+        SELECT DISTINCT rep, array_to_string(words[i : i + 4], ' ') AS gram
+        FROM kind, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS t(i)),
+    size AS (SELECT rep, count(*) AS n FROM gram GROUP BY rep),
+    common AS (
+        SELECT a.rep AS x, b.rep AS y, count(*) AS n
+        FROM gram AS a JOIN gram AS b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY 1, 2),
+    link AS (
+        SELECT x, y FROM common AS c JOIN size AS a ON a.rep = x JOIN size AS b ON b.rep = y
+        WHERE c.n * 5 >= (a.n + b.n - c.n) * 4),
+    reach AS (
+        SELECT rep AS x, rep AS y FROM kind
+        UNION SELECT r.x, l.y FROM reach AS r JOIN link AS l ON r.y = l.x),
+    class AS (SELECT x AS rep, min(y) AS class_id FROM reach GROUP BY x),
+    linked AS (SELECT x AS rep, count(*) AS n_links FROM link GROUP BY x)
+    SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(k.rep, doc_id) AS copy_of,
+           coalesce(n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+    FROM doc LEFT JOIN kind AS k USING (words) LEFT JOIN class USING (rep) LEFT JOIN linked USING (rep)
+"""
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every text of ``documents`` in sequences of at most 1024 tokens."""
     tokenizer = tokenizer_spec(public_tokenizers.path("byte_bpe_50k.json"))
@@ -190,12 +225,14 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_packing": op7_packing,
     "op8_preference_format": op8_preference_format,
     "op9_token_matrix": op9_token_matrix,
     "op10_fingerprint": op10_fingerprint,
 }
-_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op8_preference_format": OP8_SQL}
+_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_jaccard_join": OP6_SQL,
+    "op8_preference_format": OP8_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
