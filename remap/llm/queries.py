@@ -13,6 +13,7 @@ from remap.llm.decontamination import find_overlaps
 from remap.llm.digest import compare_with_next
 from remap.llm.jaccard_join import join_near
 from remap.llm.language import held_out
+from remap.llm.line_dedup import dedup_lines
 from remap.llm.preference import preference_examples, swapped_replies
 from remap.llm.texts import table
 from remap.llm.token_matrix import pack_matrix
@@ -38,6 +39,38 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, model, "text", ["doc_id", "held_out"])
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of equal and nearly equal lines over all texts of ``documents``."""
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+    WITH RECURSIVE line AS (
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+             unnest(generate_series(1, len(parts))) AS t(i)
+        WHERE length(parts[i]) >= 30),
+    kind AS (SELECT line, min((doc_id, line_no)) AS place, count(*) AS n_copies FROM line GROUP BY line),
+    half AS (
+        SELECT line, length(line) AS n, 0 AS side, left(line, 8) AS part FROM kind
+        UNION ALL SELECT line, length(line), 1, right(line, 8) FROM kind
+        UNION ALL SELECT line, length(line), 2, substr(line, length(line) // 2 - 6 + i, 8)
+        FROM kind, unnest(generate_series(0, 6)) AS t(i)),
+    link AS (
+        SELECT DISTINCT a.line AS x, b.line AS y
+        FROM half AS a JOIN half AS b ON a.side = b.side AND a.part = b.part AND a.line <> b.line AND abs(a.n - b.n) <= 2
+        WHERE levenshtein(a.line, b.line) <= 2),
+    reach AS (
+        SELECT line AS x, line AS y FROM (SELECT DISTINCT x AS line FROM link)
+        UNION SELECT r.x, l.y FROM reach AS r JOIN link AS l ON r.y = l.x),
+    class AS (SELECT x AS line, min(place) AS first FROM reach JOIN kind ON kind.line = y GROUP BY x),
+    linked AS (SELECT x AS line, count(*) AS n_links FROM link GROUP BY x)
+    SELECT doc_id, line_no, coalesce(first, place)[1] AS class_doc, coalesce(first, place)[2] AS class_line,
+           n_copies, coalesce(n_links, 0) AS n_links, coalesce(first, place) = (doc_id, line_no) AS is_first
+    FROM line JOIN kind USING (line) LEFT JOIN class USING (line) LEFT JOIN linked USING (line)
+"""
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text of ``documents``, learned from three quarters of the ids."""
     documents = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 4, 2))
@@ -222,6 +255,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": op2_line_dedup,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
@@ -231,7 +265,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_matrix": op9_token_matrix,
     "op10_fingerprint": op10_fingerprint,
 }
-_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_jaccard_join": OP6_SQL,
+_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_jaccard_join": OP6_SQL,
     "op8_preference_format": OP8_SQL}
 
 
