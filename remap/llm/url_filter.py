@@ -107,7 +107,7 @@ class Automaton:
             moved[:, 1:] |= now[:, :-1] >> top
             moved &= self.step[kinds[starts[:n] + i]]
             live[:n] = moved | (now & self.stay)
-        end = np.array(self.accept)
+        end = np.array(self.accept, dtype=np.int64)
         return ((live[:, end // 64] >> (end % 64).astype(np.uint64)) & one).astype(bool)
 
 
