@@ -48,6 +48,16 @@ def first_filled(*parts: Column | str) -> Column:
     return F.coalesce(*[empty_to_null(p) for p in parts])
 
 
+def code_text(c: Column) -> Column:
+    """A code as text.  Numbers have no zeros after their last decimal digit, and whole
+    ones no decimal point, so 5, 5.0 and 5.00 are the code ``5``."""
+    text = c.cast("string")
+    # The exponent form of large and small doubles is spelled out first.
+    plain = F.when(text.contains("E"), F.coalesce(text.try_cast("decimal(38,12)").cast("string"), text)).otherwise(text)
+    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(F.typeof(c).rlike("^(decimal|double|float)"), trimmed).otherwise(text)
+
+
 def key_text(c: Column | str) -> Column:
     """Join key in one shape: text, trimmed, blank as NULL."""
     return blank_to_null(_col(c).cast("string"))
@@ -89,7 +99,7 @@ def strip_prefix(c: Column | str, prefixes: list[str]) -> Column:
 
     ``(?iu)`` is needed: plain ``(?i)`` folds ASCII letters only.
     """
-    pattern = r"(?iu)^(" + "|".join(prefixes) + r")\s+"
+    pattern = r"(?iu)^(" + "|".join(rf"\Q{p}\E" for p in prefixes) + r")\s+"
     return empty_to_null(F.regexp_replace(F.trim(_col(c)), pattern, ""))
 
 

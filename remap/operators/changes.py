@@ -20,9 +20,12 @@ def merge_update(
     """MERGE with only a matched branch: overwrite ``assign`` columns on a match.
 
     ``assign`` maps target column to source column.  A matched row takes the
-    source value even where it is NULL.  A source that names one row twice is
-    refused, as MERGE refuses it.
+    source value even where it is NULL.  A source that names one target row
+    twice is refused, as MERGE refuses it; NULL keys and keys without a target
+    row match nothing and may repeat.
     """
+    keys = settled(target.select(F.col(key).alias("__at")).where("__at IS NOT NULL").distinct(), "merge-keys")
+    source = source.join(keys, source[source_key] == keys["__at"], "left_semi")
     require_unique(source, [source_key], "merge source")
     side = source.select(
         F.col(source_key).alias("__key"),
@@ -60,7 +63,7 @@ def insert_if_absent(
     subquery (0 on an empty table) and the new rows are numbered without a
     one-task window.
     """
-    names = existing.select(F.col(match).alias("__seen")).distinct()
+    names = settled(existing.select(F.col(match).alias("__seen")).distinct(), "seen")
     fresh = candidates.join(names, candidates[match] == names["__seen"], "left_anti")
     largest = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).cast("bigint").alias("m"))
     return assign_ids(

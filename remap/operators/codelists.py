@@ -57,8 +57,11 @@ def codes_to_ids(
     (no id: ``[]``).  ``by_id`` gives distinct ids in ascending order and NULL
     where nothing matched.
 
+    ``output`` may name a column that exists; it is replaced where it stands.
+
     A code table of at most ``fold_rows`` codes becomes one constant and each
-    row is translated on its own, with no shuffle at all.  With a larger one
+    row is translated on its own, with no shuffle at all (for values that JSON
+    text holds exactly: whole numbers, text, booleans).  With a larger one
     the *distinct* lists are translated (exploded, joined, gathered per list
     text) and joined back by list text: copies of a list, however many, cost
     one translation, and no group outgrows the list it came from.
@@ -66,7 +69,8 @@ def codes_to_ids(
     def tokens(c: str) -> Column:
         return split_codes(c, delimiters, trim=trim, blank=blank)
 
-    if dim.rows <= fold_rows and dim.size <= FOLD_BYTES and dim.duplicates != "all":
+    exact = isinstance(dim.frame.schema[value].dataType, (T.IntegralType, T.StringType, T.BooleanType))
+    if exact and dim.rows <= fold_rows and dim.size <= FOLD_BYTES and dim.duplicates != "all":
         # Blank tokens meet no code, so trimmed ones need no filter of their own.
         plain = (trim and blank != "stop") or blank == "keep"
         pieces = split_raw(column, delimiters) if plain else tokens(column)
@@ -84,7 +88,9 @@ def codes_to_ids(
     translated = translated.select("__list", F.transform("__found", lambda p: p["__id"]).alias("__ids"))
     translated = settled(translated, "lists", limit)
     joined = df.join(translated, df[column] == translated["__list"], "left")
-    return joined.select(*[df[c] for c in df.columns], _render(F.col("__ids"), form, by_id).alias(output))
+    text = _render(F.col("__ids"), form, by_id).alias(output)
+    kept = [text if c == output else df[c] for c in df.columns]
+    return joined.select(*kept, *([] if output in df.columns else [text]))
 
 
 def _render(ids: Column, form: str, by_id: bool) -> Column:
@@ -119,5 +125,5 @@ def _constant_reader(dim: CodeDim, value: str):
     for b, code, v in rows:
         maps[b][code] = v
     schema = T.ArrayType(T.MapType(T.StringType(), table.schema[value].dataType))
-    constant = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, default=str)), schema)
+    constant = F.from_json(F.lit(json.dumps(maps, ensure_ascii=False)), schema)
     return lambda t: F.try_element_at(F.get(constant, bucket(dim.probe(t))), dim.probe(t))

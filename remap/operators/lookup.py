@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from remap.functions.text import empty_to_null, key_text, strip_prefix
+from remap.functions.text import code_text, empty_to_null, key_text, strip_prefix
 from remap.operators.sizing import (
     DEFAULT_LIMIT,
     BroadcastLimit,
     broadcast_if_small,
     row_bytes,
 )
-from remap.session import materialize
+from remap.session import keep, materialize
 
 
 # Bytes all broadcasts of one star may take together on every executor.
@@ -53,12 +53,17 @@ class CodeDim:
 
     def key(self, c: Column | str) -> Column:
         """Code as stored in the prepared table: text, empty as NULL."""
-        return key_text(c) if self.normalise else empty_to_null(_text(c))
+        text = self._code(c)
+        return key_text(text) if self.normalise else empty_to_null(text)
 
     def probe(self, c: Column | str) -> Column:
         """Code on the looked-up side.  No stored code is empty, so an empty one
         needs no NULL test to miss."""
-        return F.trim(_text(c)) if self.normalise else _text(c)
+        text = self._code(c)
+        return F.trim(text) if self.normalise else text
+
+    def _code(self, c: Column | str) -> Column:
+        return code_text(F.col(c) if isinstance(c, str) else c)
 
     def live(self) -> DataFrame:
         """Rows the soft-delete rule keeps."""
@@ -125,7 +130,7 @@ class CodeDim:
             require_unique_code(live, self.code)
         self._rows, self._size, self._hashed = int(rows), int(size), most <= 1
         if self.duplicates == "first" and not self.limit.allows(rows, size):
-            live = materialize(live, "codes")  # see sizing.settled
+            live = keep(materialize(live, "codes"))  # see sizing.settled
         self._prepared = live
 
 
@@ -153,7 +158,15 @@ def resolve_codes(
     afterwards: a number key is several times cheaper to look up, and since the
     hashes of a code table are checked to be distinct, the one candidate either
     is the code or there is none.
+
+    An output must not name a column that exists or another role's output.
     """
+    taken = list(df.columns)
+    for role in roles:
+        clash = [o for o in role.output if o in taken]
+        if clash or len(set(role.output)) < len(role.output):
+            raise ValueError(f"lookup outputs name existing columns: {clash}")
+        taken += role.output
     fits = _within_budget([role.dim for role in roles], budget)
     keys = [f"__k{i}" for i in range(len(roles))]
     for key, role in zip(keys, roles):
@@ -255,16 +268,12 @@ def match_local_name(
     compared exactly, inside the row's own region.
     """
     side = places.select(
-        key_text(place_region).alias("__region"),
+        key_text(code_text(F.col(place_region))).alias("__region"),
         strip_prefix(place_name, prefixes).alias("__name"),
         F.col(place_id).alias(output),
     )
     side = broadcast_if_small(side, limit)
-    on = (key_text(region) == side["__region"]) & (
+    on = (key_text(code_text(F.col(region))) == side["__region"]) & (
         strip_prefix(name, prefixes) == side["__name"]
     )
     return df.join(side, on, "left").drop("__region", "__name")
-
-
-def _text(c: Column | str) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).cast("string")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from remap.functions.dates import age_cutoff_parse
 from remap.operators.numbering import first_per_key, number_rows
-
-TAIL_MIN, TAIL_MAX = 1, 5000
+from remap.operators.sizing import settled
 
 
 def _newest_first(run_at: str, tie: str) -> list[Column]:
@@ -74,18 +73,18 @@ def keep_recent(df: DataFrame, now: str, *, hours: int = 24, run_at: str = "run_
     return df.where(when.isNull() | (when >= cutoff))
 
 
-def clamp_tail(n: int) -> int:
-    return max(TAIL_MIN, min(int(n), TAIL_MAX))
-
-
 def tail(df: DataFrame, n: int, *, sequence: str = "seq", user: str | None = None,
-         user_column: str = "usr") -> DataFrame:
-    """The last ``n`` rows (1..5000) in log order, then only those of ``user``.
+         user_column: str = "usr", most: int | None = None) -> DataFrame:
+    """The last ``n`` rows in log order, then only those of ``user``.
+
+    ``n`` below 1, or above ``most`` where that is given, is an error.
 
     The user filter comes after the limit on purpose: the report shows what of
     the latest rows belongs to that user.
     """
-    last = df.orderBy(F.col(sequence).desc_nulls_last()).limit(clamp_tail(n))
+    if n < 1 or (most is not None and n > most):
+        raise ValueError(f"a tail of {n} rows; allowed are 1 to {most or 'any number'}")
+    last = df.orderBy(F.col(sequence).desc_nulls_last()).limit(n)
     if user:
         last = last.where(F.col(user_column) == user)
     return last.orderBy(F.col(sequence).asc_nulls_last())
@@ -103,5 +102,5 @@ def status_summary(runs: DataFrame, by: list[str] = ()) -> DataFrame:
 def remaining(requested: DataFrame, finished: DataFrame, key: str = "id") -> DataFrame:
     """Requested ids that did not finish yet, with success or with an error."""
     done = finished.where(F.col("status").isin("success", "error"))
-    done = done.select(F.col(key).alias("__done")).distinct()
+    done = settled(done.select(F.col(key).alias("__done")).distinct(), "done")
     return requested.join(done, requested[key] == done["__done"], "left_anti")

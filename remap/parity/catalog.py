@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from remap.operators.reports import search
 from remap.parity.registry import query
+from remap.plans.mapping import map_columns, read_mapping
 from remap.session import new_path
+from remap.sources.activity import read_activity, write_activity
 from remap.sources.catalog import column_catalog, read_snapshot, write_snapshot
-from remap.sources.notes import explode_json, pack_json
+from remap.sources.notes import explode_json, pack_json, read_notes, write_notes
 from remap.sources.registry import read_registry, write_registry
-from remap.sources.runlog import HISTORY, read_records, write_records
+from remap.sources.runlog import (
+    DELETE_LEDGER,
+    HISTORY,
+    SCRIPT_HISTORY,
+    read_records,
+    write_records,
+)
 
 
 @query(
@@ -44,6 +56,110 @@ def _(t):
     return read_records(t.spark, path, HISTORY)
 
 
+@query(
+    "ledger_read",
+    """
+    SELECT id, job_id AS stmt_id, job_name, 'main' AS target_connection_name, target_table,
+           'DELETE FROM ' || target_table AS sql_delete,
+           strftime(run_at, '%Y-%m-%d %H:%M:%S') AS run_at, delete_rows AS rows_deleted
+    FROM run_history WHERE delete_rows > 0
+    """,
+)
+def _(t):
+    path = new_path(t.spark, "ledger")
+    rows = t.run_history.where("delete_rows > 0").select(
+        "id",
+        F.col("job_id").alias("stmt_id"),
+        "job_name",
+        F.lit("main").alias("target_connection_name"),
+        "target_table",
+        F.concat(F.lit("DELETE FROM "), "target_table").alias("sql_delete"),
+        F.date_format("run_at", "yyyy-MM-dd HH:mm:ss").alias("run_at"),
+        F.col("delete_rows").alias("rows_deleted"),
+    )
+    write_records(rows, path, DELETE_LEDGER)
+    return read_records(t.spark, path, DELETE_LEDGER)
+
+
+def _scripts(t):
+    path = new_path(t.spark, "scripts")
+    rows = t.run_history.select(
+        "id",
+        (F.col("id") % 3).alias("connection_id"),
+        F.concat("job_name", F.lit(".sql")).alias("filename"),
+        F.lit("main").alias("connection_name"),
+        F.date_format("run_at", "yyyy-MM-dd HH:mm:ss").alias("run_at"),
+        "status",
+        "message",
+    )
+    write_records(rows, path, SCRIPT_HISTORY)
+    return read_records(t.spark, path, SCRIPT_HISTORY)
+
+
+_SCRIPTS = """
+    SELECT id, id % 3 AS connection_id, job_name || '.sql' AS filename, 'main' AS connection_name,
+           strftime(run_at, '%Y-%m-%d %H:%M:%S') AS run_at, status, message
+    FROM run_history
+"""
+
+
+@query("script_history_read", _SCRIPTS)
+def _(t):
+    return _scripts(t)
+
+
+@query(
+    "search_all_logs",
+    f"""
+    SELECT 'history' AS log, id FROM run_history WHERE contains(lower(job_name), 'b_7')
+    UNION ALL
+    SELECT 'ledger', id FROM run_history
+    WHERE delete_rows > 0 AND contains('delete from ' || lower(target_table), 'from t_1')
+    UNION ALL
+    SELECT 'script', id FROM ({_SCRIPTS}) s WHERE contains(lower(filename), 'b_7.sql')
+    """,
+)
+def _(t):
+    ledger = t.run_history.where("delete_rows > 0").select(
+        "id", F.concat(F.lit("DELETE FROM "), "target_table").alias("sql_delete")
+    )
+    found = {
+        "history": search(t.run_history, "B_7", ["job_name"]),
+        "ledger": search(ledger, "from T_1", ["sql_delete"]),
+        "script": search(_scripts(t), "b_7.SQL", ["filename"]),
+    }
+    parts = [df.select(F.lit(log).alias("log"), "id") for log, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("activity_read", "SELECT seq, run_at, usr, action, status, meta FROM activity_log")
+def _(t):
+    path = new_path(t.spark, "activity")
+    write_activity(t.activity_log, path)
+    return read_activity(t.spark, path)
+
+
+@query("notes_read", "SELECT r_name AS name, 'seen \"' || r_name || '\"' AS note FROM region")
+def _(t):
+    path = new_path(t.spark, "notes")
+    note = F.concat(F.lit('seen "'), "r_name", F.lit('"')).alias("note")
+    write_notes(t.region.select(F.col("r_name").alias("name"), note), path)
+    return read_notes(t.spark, path)
+
+
+@query(
+    "mapping_read",
+    "SELECT o_orderkey AS ref_no, upper(o_orderstatus) AS state, o_totalprice * 2 AS doubled FROM orders",
+)
+def _(t):
+    path = new_path(t.spark, "mapping")
+    stored = [(7, 3, "o_totalprice * 2", "doubled"), (7, 1, "o_orderkey", "ref_no"),
+              (7, 2, "upper(o_orderstatus)", "state"), (8, 1, "o_custkey", "other")]
+    columns = "job_id bigint, column_order int, source string, target string"
+    t.spark.createDataFrame(stored, columns).write.parquet(path)
+    return map_columns(t.orders, read_mapping(t.spark.read.parquet(path), job_id=7))
+
+
 @query("catalog_explode", "SELECT table_name, column_id, column_name FROM order_columns")
 def _(t):
     path = new_path(t.spark, "catalog")
@@ -115,4 +231,4 @@ def _column_sql(table: str, position: int, spec: str) -> str:
 def _(t):
     from remap.parity.views import BASE
 
-    return column_catalog({name: getattr(t, name) for name in BASE}, "eR")
+    return column_catalog({name: getattr(t, name) for name in BASE}, "eR", measure=True)

@@ -56,6 +56,21 @@ def _(t):
     )
 
 
+@query(
+    "merge_update_loose",
+    """
+    SELECT d.id, d.name, CASE WHEN d.id % 2 = 0 THEN d.status + 1 ELSE d.status END AS status FROM team_dim d
+    """,
+)
+def _(t):
+    """A source that repeats NULL keys and keys without a target row is a valid one."""
+    rows = t.team_dim.select("id", "name", "status")
+    even = rows.where("id % 2 = 0").select(F.col("id").alias("at"), (F.col("status") + 1).alias("new"))
+    lost = rows.select(F.lit(None).cast("bigint").alias("at"), F.col("status").alias("new"))
+    source = even.unionByName(lost).unionByName(lost.withColumn("at", F.lit(-1).cast("bigint")))
+    return merge_update(rows, source, key="id", source_key="at", assign={"status": "new"})
+
+
 @query(
     "update_case",
     """

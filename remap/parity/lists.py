@@ -44,6 +44,29 @@ def _(t):
     return out.select("detail_id", "id_list")
 
 
+@query(
+    "codes_to_ids_in_place",
+    f"""
+    SELECT d.detail_id, f.id_list AS code_list, d.old_id, size.path
+    FROM detail_old d CROSS JOIN (VALUES ('constant'), ('join')) size(path)
+    LEFT JOIN (SELECT e.detail_id,
+                      string_agg(CAST(c.id AS string), ',' ORDER BY e.position) AS id_list
+               FROM ({_tokens(';')}) e
+               JOIN code_dim c ON trim(c.code) = e.code AND coalesce(c.is_deleted, 0) = 0
+               GROUP BY 1) f ON f.detail_id = d.detail_id
+    """,
+)
+def _(t):
+    """The same list rewritten in place by both paths."""
+    dim = CodeDim(t.code_dim, deleted="lenient", normalise=True)
+    rows = t.detail_old.select("detail_id", "code_list", "old_id")
+    small, large = (
+        codes_to_ids(rows, "code_list", dim, output="code_list", fold_rows=n).withColumn("path", F.lit(name))
+        for n, name in ((dim.rows, "constant"), (0, "join"))
+    )
+    return small.union(large)
+
+
 @query(
     "codes_to_ids_bracketed",
     f"""

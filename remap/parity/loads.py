@@ -153,6 +153,47 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query(
+    "multi_statement_load",
+    """
+    WITH first AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS bigint) AS state FROM supplier),
+    added AS (SELECT * FROM first
+              UNION ALL SELECT c_custkey + 1000000, c_name, CAST(c_nationkey AS bigint) FROM customer),
+    updated AS (SELECT id, name, CASE WHEN state = 3 THEN -3 ELSE state END AS state FROM added),
+    fewer AS (SELECT * FROM updated WHERE state <> 5),
+    merged AS (SELECT f.id, coalesce(p.p_name, f.name) AS name, f.state
+               FROM fewer f LEFT JOIN part p ON p.p_partkey = f.id)
+    SELECT id, name, state, 'success' AS status,
+           (SELECT count(*) FROM customer)
+           + (SELECT count(*) FROM added WHERE state = 3)
+           + (SELECT count(*) FROM updated WHERE state = 5)
+           + (SELECT count(*) FROM fewer WHERE id IN (SELECT p_partkey FROM part)) AS touched
+    FROM merged
+    """,
+)
+def _(t):
+    path = new_path(t.spark, "statements")
+    t.supplier.select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("bigint").alias("state")
+    ).write.parquet(path)
+    more = t.customer.select(
+        (F.col("c_custkey") + 1000000).alias("id"), F.col("c_name").alias("name"),
+        F.col("c_nationkey").cast("bigint").alias("state"),
+    )
+    steps = [
+        loads.append_step(more),
+        loads.update_step(F.col("state") == 3, {"state": F.lit(-3).cast("bigint")}),
+        loads.delete_step(F.col("state") == 5),
+        loads.merge_step(t.part.select("p_partkey", "p_name"), key="id", source_key="p_partkey", assign={"name": "p_name"}),
+    ]
+    done = loads.multi_statement_load(t.spark, path, steps, job="statements", table="target")
+    failing = [loads.delete_step(F.col("state") == -3), loads.update_step(F.assert_true(F.lit(False)).isNull(), {})]
+    loads.multi_statement_load(t.spark, path, failing, job="statements", table="target")
+    return t.spark.read.parquet(path).select(
+        "id", "name", "state", F.lit(done.status).alias("status"), F.lit(done.insert_rows).cast("bigint").alias("touched")
+    )
+
+
 @query(
     "multi_target_load",
     """

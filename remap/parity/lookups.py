@@ -184,3 +184,28 @@ def _(t):
         output="ward_id",
     )
     return out.select("old_id", "ward_name", "ward_id")
+
+
+@query(
+    "join_number_key",
+    """
+    SELECT o.o_orderkey AS id, c.c_name AS by_decimal, c.c_name AS by_double, p.p_name AS by_price
+    FROM orders o
+    LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+    LEFT JOIN part p ON p.p_partkey * 4 + 1 = o.o_custkey
+    """,
+)
+def _(t):
+    """Codes kept as text against numbers with and without a fraction."""
+    codes = CodeDim(t.customer.select(F.col("c_custkey").cast("string").alias("code"), F.col("c_name").alias("id")))
+    quarters = CodeDim(
+        t.part.select(F.concat((F.col("p_partkey")).cast("string"), F.lit(".25")).alias("code"), F.col("p_name").alias("id"))
+    )
+    rows = t.orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_custkey").cast("decimal(12,2)").alias("d"),
+        F.col("o_custkey").cast("double").alias("f"),
+        (F.col("o_custkey") / 4).cast("decimal(14,4)").alias("q"),
+    )
+    roles = [Role("d", codes, {"by_decimal": "id"}), Role("f", codes, {"by_double": "id"}), Role("q", quarters, {"by_price": "id"})]
+    return resolve_codes(rows, roles).select("id", "by_decimal", "by_double", "by_price")

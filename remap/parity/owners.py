@@ -47,3 +47,15 @@ def _(t):
 )
 def _(t):
     return attach_owner_left_inner(t.detail_old, t.party_old, t.party_new).select(*_OUT)
+
+
+@query(
+    "crosswalk_hinted",
+    """
+    SELECT d.detail_id, n.id AS owner_id FROM detail_old d
+    JOIN party_old o ON o.old_id = d.old_id JOIN party_new n ON n.file_no = o.file_no
+    """,
+)
+def _(t):
+    owners = crosswalk(t.party_old, t.party_new)
+    return attach_owner(t.detail_old, owners, strategy="shuffle_hash").select("detail_id", "owner_id")

@@ -468,33 +468,23 @@ def _(t):
 
 @query(
     "load_cascade",
-    f"""
-    SELECT 'purge' AS step, 'line' AS target_table, count(*) AS n FROM lineitem
-    UNION ALL SELECT 'purge', 'order', count(*) FROM orders
-    UNION ALL SELECT 'load', 'order', count(*) FROM detail_old d
-              JOIN party_old o ON o.old_id = d.old_id JOIN party_new n ON n.file_no = o.file_no
+    """
+    SELECT d.detail_id, n.id AS owner_id, (SELECT count(*) FROM lineitem) AS lines_gone,
+           (SELECT count(*) FROM orders) AS orders_gone
+    FROM detail_old AS d, party_old AS o, party_new AS n
+    WHERE d.old_id = o.old_id AND o.file_no = n.file_no
     """,
 )
 def _(t):
     path = new_path(t.spark, "cascade")
+    rows = attach_owner(t.detail_old, crosswalk(t.party_old, t.party_new)).select("detail_id", "owner_id")
     t.lineitem.write.parquet(f"{path}/line")
-    t.orders.write.parquet(f"{path}/order")
+    t.orders.select(F.col("o_orderkey").alias("detail_id"), F.col("o_custkey").alias("owner_id")).write.parquet(f"{path}/order")
     purged = loads.purge_ordered(t.spark, [("line", f"{path}/line"), ("order", f"{path}/order")])
-    spec = LoadSpec(
-        target="order",
-        source=t.detail_old,
-        owner=_owners(t),
-        columns=[("detail_id", "detail_id"), ("owner_id", "owner_id"), ("doc", blank_to_null("note"))],
-        audit=_AUDIT,
-        clear="append",
-    )
-    result = loads.append_load(
-        build(spec), f"{path}/order_new", job="reload parents", table="order"
-    )
-    loaded = t.spark.createDataFrame(
-        [("load", result.target_table, result.insert_rows)], "step string, target_table string, n bigint"
-    )
-    return purged.select(F.lit("purge").alias("step"), "target_table", F.col("rows_deleted").alias("n")).unionByName(loaded)
+    loads.append_load(rows, f"{path}/order", job="reload parents", table="order")
+    gone = purged.groupBy().pivot("target_table", ["line", "order"]).agg(F.first("rows_deleted"))
+    gone = gone.select(F.col("line").alias("lines_gone"), F.col("order").alias("orders_gone"))
+    return t.spark.read.parquet(f"{path}/order").join(F.broadcast(gone))
 
 
 @query(
@@ -508,7 +498,9 @@ def _(t):
     UNION ALL
     SELECT 2, 12, 'load_failing', '{RUN_AT}', 'error', NULL, NULL
     UNION ALL
-    SELECT 3, 11, 'load_open', '{RUN_AT}', 'success',
+    SELECT 3, 13, 'load_failing', '{RUN_AT}', 'error', NULL, NULL
+    UNION ALL
+    SELECT 4, 11, 'load_open', '{RUN_AT}', 'success',
            (SELECT count(*) FROM detail_old d JOIN party_old o ON o.old_id = d.old_id
             JOIN party_new n ON n.file_no = o.file_no WHERE d.action = 'OPEN'),
            (SELECT count(*) FROM detail_old d JOIN party_old o ON o.old_id = d.old_id
@@ -525,7 +517,13 @@ def _(t):
 
     opened = spec("open", where="action = 'OPEN'", ids=True)
     failing = spec("failing", where=F.assert_true(F.col("detail_id") < 0).isNull())
-    jobs = [(11, opened, f"{path}/open"), (12, failing, f"{path}/failing"), (11, opened, f"{path}/open")]
+    adding = spec("failing", where=F.assert_true(F.col("detail_id") < 0).isNull(), clear="append")
+    jobs = [
+        (11, opened, f"{path}/open"),
+        (12, failing, f"{path}/failing"),
+        (13, adding, f"{path}/failing"),
+        (11, opened, f"{path}/open"),
+    ]
     run_batch(t.spark, jobs, log_path=f"{path}/log", run_at=RUN_AT)
     return read_records(t.spark, f"{path}/log/history", HISTORY).select(
         "id", "stmt_id", "job_name", "run_at", "status", "delete_rows", "insert_rows"

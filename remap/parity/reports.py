@@ -18,6 +18,10 @@ _RUN = "id, job_id, job_name, target_table, run_at, status, delete_rows, insert_
 _RUN_LIST = _RUN.split(", ")
 
 
+# Fixed value: the longest tail the activity report shows.
+TAIL_MOST = 5000
+
+
 @query(
     "latest_errors",
     f"""
@@ -121,7 +125,7 @@ def _(t):
     """,
 )
 def _(t):
-    return r.tail(t.activity_log, 9999, user="u7").select(
+    return r.tail(t.activity_log, TAIL_MOST, user="u7", most=TAIL_MOST).select(
         "seq", "run_at", "usr", "action", "status"
     )
 

@@ -22,41 +22,41 @@ def run_batch(
 ) -> list[LoadResult]:
     """Load each (job id, spec, path) and log it.
 
-    Every job leaves one history row, and one ledger row where it removed old
-    rows.  A failed job does not stop the others unless ``stop_on_error``.
+    Every job leaves one history row when it ends, and one ledger row where it
+    removed old rows.  A failed job does not stop the others unless
+    ``stop_on_error``.
     """
-    done: list[tuple[int, LoadResult]] = []
+    results = []
     for job_id, spec, path in jobs:
         result = run(spark, spec, path)
-        done.append((job_id, result))
+        results.append(result)
+        _log(spark, log_path, job_id, result, run_at)
         if stop_on_error and result.status == "error":
             break
+    return results
+
+
+def _log(spark: SparkSession, log_path: str, job_id: int, r: LoadResult, run_at: str) -> None:
+    """History and ledger of one job, written as the job ends."""
     _append(
         spark,
         f"{log_path}/history",
         HISTORY,
         "stmt_id bigint, job_name string, target_table string, status string, "
         "delete_rows bigint, insert_rows bigint, message string",
-        [
-            (i, r.job_name, r.target_table, r.status, r.delete_rows, r.insert_rows, r.message)
-            for i, r in done
-        ],
-        run_at,
-    )
-    _append(
-        spark,
-        f"{log_path}/ledger",
-        DELETE_LEDGER,
-        "stmt_id bigint, job_name string, target_connection_name string, target_table string, "
-        "sql_delete string, rows_deleted bigint",
-        [
-            (i, r.job_name, "", r.target_table, f"DELETE FROM {r.target_table}", r.delete_rows)
-            for i, r in done
-            if r.delete_rows is not None
-        ],
+        [(job_id, r.job_name, r.target_table, r.status, r.delete_rows, r.insert_rows, r.message)],
         run_at,
     )
-    return [r for _, r in done]
+    if r.delete_rows is not None:
+        _append(
+            spark,
+            f"{log_path}/ledger",
+            DELETE_LEDGER,
+            "stmt_id bigint, job_name string, target_connection_name string, target_table string, "
+            "sql_delete string, rows_deleted bigint",
+            [(job_id, r.job_name, "", r.target_table, f"DELETE FROM {r.target_table}", r.delete_rows)],
+            run_at,
+        )
 
 
 def _append(

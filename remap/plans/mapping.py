@@ -25,6 +25,15 @@ def map_columns(source: DataFrame, mapping: Mapping) -> DataFrame:
     return source.select(*columns)
 
 
+def read_mapping(stored: DataFrame, *, job_id: int) -> Mapping:
+    """The mapping of one job from a table (job_id, column_order, source, target).
+
+    A mapping has as many rows as its target has columns, so it may pass the driver.
+    """
+    rows = stored.where(F.col("job_id") == job_id).orderBy("column_order", "target")
+    return [(r["target"], r["source"] or "") for r in rows.select("source", "target").collect()]
+
+
 def typed_null(to: str) -> Column:
     return F.lit(None).cast(to)
 

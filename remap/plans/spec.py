@@ -18,6 +18,7 @@ from remap.operators.codelists import codes_to_ids, explode_rows
 from remap.operators.crosswalk import attach_owner
 from remap.operators.lookup import CodeDim, Role, resolve_codes, translate_region
 from remap.plans.mapping import AuditBlock, Mapping, map_columns
+from remap.session import recording, release
 from remap.sinks.loads import LoadResult, append_load, reload_full, reload_truncate
 
 
@@ -101,19 +102,26 @@ def build(spec: LoadSpec) -> DataFrame:
 
 
 def run(spark: SparkSession, spec: LoadSpec, path: str) -> LoadResult:
-    """Build the rows and load them the way the spec clears its target."""
+    """Build the rows and load them the way the spec clears its target.
+
+    The intermediate tables of the load are deleted when it ends, well or not.
+    """
     job = f"load_{spec.target}"
-    if spec.clear == "append":
-        return append_load(build(spec), path, job=job, table=spec.target)
-    load = {"delete": reload_full, "truncate": reload_truncate}.get(spec.clear)
-    if load is None:
+    if spec.clear not in ("append", "delete", "truncate"):
         raise ValueError(f"unknown clear mode: {spec.clear}")
-    return load(
-        spark,
-        lambda: build(spec),
-        path,
-        job=job,
-        table=spec.target,
-        ids=spec.ids,
-        id_order=spec.id_order,
-    )
+    with recording() as work:
+        if spec.clear == "append":
+            result = append_load(lambda: build(spec), path, job=job, table=spec.target)
+        else:
+            load = reload_full if spec.clear == "delete" else reload_truncate
+            result = load(
+                spark,
+                lambda: build(spec),
+                path,
+                job=job,
+                table=spec.target,
+                ids=spec.ids,
+                id_order=spec.id_order,
+            )
+    release(spark, work)
+    return result

@@ -76,6 +76,7 @@ def header_with_count(
     and a hot header shuffles one row per task.
     """
     counts = details.groupBy(F.col(detail_key).alias("__k")).agg(F.count(detail_key).alias("__n"))
+    counts = settled(counts, "counts")
     joined = headers.join(counts, headers[key] == counts["__k"], "left")
     return joined.withColumn(output, F.coalesce(F.col("__n"), F.lit(0))).drop("__k", "__n")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,7 @@ _RUNTIME = {
 
 _fallback_dir: str | None = None
 _written: list[str] = []
+_kept: list[str] = []  # tables that outlive the load that made them
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,13 +36,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, visible to every executor.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (a plain local session, as in tests) a fresh local folder is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and
+    the session is a single process (as in tests) a fresh local folder is used; on a
+    cluster it would be another disk for every executor, so there it is an error.
     """
     global _fallback_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if _fallback_dir is None:
         _fallback_dir = tempfile.mkdtemp(prefix="run-remap-", dir="/tmp")
     return _fallback_dir
@@ -57,16 +64,37 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    _written.append(path)  # a write that fails may leave files too
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process wrote; call when a batch is done."""
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collects the paths of the intermediate tables written inside, for :func:`release`."""
+    before, paths = set(_written), []
+    try:
+        yield paths
+    finally:
+        paths += [p for p in _written if p not in before]
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Leave the tables behind ``df`` to :func:`release` without paths; they serve more than one load."""
+    for file in df.inputFiles():
+        for path in list(_written):
+            if f"/{path.rpartition('/')[2]}/" in file:
+                _written.remove(path)
+                _kept.append(path)
+    return df
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables: those of ``paths``, or all this process wrote."""
     from remap.sinks.files import remove
 
-    count = len(_written)
-    while _written:
-        remove(spark, _written.pop())
-    return count
+    gone = _written + _kept if paths is None else [p for p in _written if p in set(paths)]
+    for path in gone:
+        remove(spark, path)
+        (_written if path in _written else _kept).remove(path)
+    return len(gone)

@@ -57,6 +57,29 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
         remove(spark, backup)
 
 
+def move_in(staged: list[tuple[SparkSession, str, str]]) -> None:
+    """Move the files of staged tables into their tables; (session, staged, table) each.
+
+    File names are unique, so nothing is overwritten.  If a move fails, the files that
+    were moved are taken out again.
+    """
+    moved: list[tuple[SparkSession, str]] = []
+    try:
+        for spark, source, path in staged:
+            fs, folder = _fs(spark, source)
+            fs.mkdirs(_fs(spark, path)[1])
+            for status in fs.listStatus(folder):
+                name = status.getPath().getName()
+                if not name.startswith(("_", ".")):
+                    _rename(spark, f"{source}/{name}", f"{path}/{name}")
+                    moved.append((spark, f"{path}/{name}"))
+            remove(spark, source)
+    except Exception:
+        for spark, file in moved:
+            remove(spark, file)
+        raise
+
+
 def recover(spark: SparkSession, path: str) -> None:
     """Undo a swap that stopped half way: bring the old table back."""
     backup = f"{path}__old"

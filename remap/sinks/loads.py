@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from remap.operators.changes import merge_update, update_where
 from remap.operators.numbering import assign_ids
-from remap.sinks.files import count_rows, empty_like, exists, recover, stage, swap
+from remap.sinks.files import (
+    count_rows,
+    empty_like,
+    exists,
+    move_in,
+    recover,
+    remove,
+    stage,
+    swap,
+)
 
 AUDIT_SCHEMA = T.StructType(
     [
@@ -90,26 +100,96 @@ def reload_truncate(
     return reload_full(spark, build, path, job=job, table=table, count_deleted=False, **ids)
 
 
-def append_load(frame: DataFrame, path: str, *, job: str, table: str) -> LoadResult:
-    """Add rows to a table; running it twice doubles them."""
-    seen = Observation()
-    counted = frame.observe(seen, F.count(F.lit(1)).alias("n"))
-    counted.write.mode("append").parquet(path)
-    return LoadResult(job, table, "success", 0, seen.get["n"])
+def append_load(
+    frame: DataFrame | Callable[[], DataFrame], path: str, *, job: str, table: str
+) -> LoadResult:
+    """Add rows to a table; running it twice doubles them.
+
+    The rows are written beside the table and moved in when complete, so a failure
+    leaves no file behind and gives an ``error`` result.
+    """
+    return multi_target_load([(table, path, frame)], job=job)[0]
 
 
 def multi_target_load(
-    steps: list[tuple[str, str, DataFrame | None]], *, job: str
+    steps: list[tuple[str, str, DataFrame | Callable[[], DataFrame] | None]], *, job: str
 ) -> list[LoadResult]:
-    """Ordered appends to several tables; empty steps are skipped.
+    """Appends to several tables, all or none; empty steps are skipped.
 
-    A step is (table, path, frame).
+    A step is (table, path, frame or function that makes it).  Every step is written
+    beside its table first.  If one fails, no table changes: its result has the
+    message, the others tell that they were not applied.
     """
-    return [
-        append_load(frame, path, job=job, table=table)
-        for table, path, frame in steps
-        if frame is not None
-    ]
+    steps = [s for s in steps if s[2] is not None]
+    staged: list[tuple[SparkSession, str, str, int]] = []
+    try:
+        for _, path, build in steps:
+            frame = build() if callable(build) else build
+            seen = Observation()
+            counted = frame.observe(seen, F.count(F.lit(1)).alias("n"))
+            staged.append((frame.sparkSession, stage(counted, path), path, seen.get["n"]))
+        move_in([(s, a, b) for s, a, b, _ in staged])
+    except Exception as err:  # every failure becomes an audit row
+        for spark, source, *_ in staged:
+            remove(spark, source)
+        failed = min(len(staged), len(steps) - 1)
+        others = f"not applied: {steps[failed][0]} failed"
+        return [
+            LoadResult(job, table, "error", None, None, _first_line(err) if i == failed else others)
+            for i, (table, *_) in enumerate(steps)
+        ]
+    return [LoadResult(job, table, "success", 0, n) for (table, *_), (*_, n) in zip(steps, staged)]
+
+
+Step = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def append_step(rows: DataFrame) -> Step:
+    """INSERT: all of ``rows``."""
+    return lambda df: (df.unionByName(rows), rows)
+
+
+def update_step(condition: Column, assign: dict[str, Column]) -> Step:
+    """UPDATE .. SET .. WHERE."""
+    return lambda df: (update_where(df, condition, assign), df.where(condition))
+
+
+def delete_step(condition: Column) -> Step:
+    """DELETE .. WHERE; rows for which the condition is unknown stay."""
+    hit = F.coalesce(condition, F.lit(False))
+    return lambda df: (df.where(~hit), df.where(hit))
+
+
+def merge_step(source: DataFrame, *, key: str, source_key: str, assign: dict[str, str]) -> Step:
+    """MERGE with a matched branch."""
+
+    def step(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        matched = df.join(source.select(F.col(source_key).alias("__key")), df[key] == F.col("__key"), "left_semi")
+        return merge_update(df, source, key=key, source_key=source_key, assign=assign), matched
+
+    return step
+
+
+def multi_statement_load(
+    spark: SparkSession, path: str, steps: list[Step], *, job: str, table: str
+) -> LoadResult:
+    """Several statements on one table as one change: all take effect or none.
+
+    Each step sees the rows as the steps before left them.  The result is written
+    once, beside the table, and swapped in; ``insert_rows`` is the sum of the rows the
+    steps touched.  A failing step leaves the table as it was and gives an ``error``
+    result.  The order of the steps counts, as it does for statements.
+    """
+    try:
+        recover(spark, path)
+        frame, touched = spark.read.parquet(path), 0
+        for step in steps:
+            frame, hit = step(frame)
+            touched += hit.count()
+        swap(spark, stage(frame, path), path)
+    except Exception as err:  # every failure becomes an audit row
+        return LoadResult(job, table, "error", None, None, _first_line(err))
+    return LoadResult(job, table, "success", 0, touched)
 
 
 def purge_ordered(spark: SparkSession, tables: list[tuple[str, str]]) -> DataFrame:

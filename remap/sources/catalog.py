@@ -49,14 +49,30 @@ def list_tables(names: list[str], pattern: str | None = None) -> list[str]:
     return sorted(n for n in names if part in n.upper())
 
 
-def column_catalog(tables: dict[str, DataFrame], pattern: str | None = None) -> DataFrame:
+def column_catalog(
+    tables: dict[str, DataFrame], pattern: str | None = None, *, measure: bool = False
+) -> DataFrame:
     """Columns of each table with type, length and nullability, in order.
 
-    Files declare neither a length nor NOT NULL, so both are measured: one
-    pass per table gives the longest text in bytes and whether NULLs occur.
+    Names, types and positions come from the schemas alone; no data is read.  Files
+    declare neither a length nor NOT NULL, so these stay NULL unless ``measure`` asks
+    for them: one pass per table then gives the longest text in bytes and whether NULLs
+    occur.
     """
-    frames = [_one_table(n, tables[n]) for n in list_tables(list(tables), pattern)]
-    return reduce(DataFrame.unionByName, frames)
+    names = list_tables(list(tables), pattern)
+    if measure:
+        return reduce(DataFrame.unionByName, [_one_table(n, tables[n]) for n in names])
+    rows = [
+        (n, f.name, f.dataType.simpleString(), None, None, i)
+        for n in names
+        for i, f in enumerate(tables[n].schema.fields, start=1)
+    ]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(
+        rows,
+        "table_name string, column_name string, data_type string, data_length bigint, "
+        "nullable string, column_id bigint",
+    )
 
 
 def _one_table(name: str, df: DataFrame) -> DataFrame:

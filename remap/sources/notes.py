@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,20 @@ def set_note(notes: DataFrame, name: str, note: str) -> DataFrame:
         return rest
     spark = notes.sparkSession
     return rest.unionByName(spark.createDataFrame([(name, note.strip())], "name string, note string"))
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """(name, note) of a notes file, which is one JSON object; anything else has no note."""
+    whole = spark.read.text(path, wholetext=True)
+    return explode_json(whole, "value", keep=[]).select(F.col("key").alias("name"), F.col("value").alias("note"))
+
+
+def write_notes(notes: DataFrame, path: str, mode: str = "error") -> None:
+    """Write the notes as one JSON object.
+
+    The format is a single object, so the notes (a line or two per item of a small
+    catalog) meet in one row.
+    """
+    entries = notes.select(F.lit(0).alias("file"), "name", "note")
+    packed = pack_json(entries, keep=["file"], key="name", value="note", output="value")
+    packed.select("value").coalesce(1).write.mode(mode).text(path)
