@@ -7,8 +7,8 @@ of that length (positions shifted by no more than the edits left on either side)
 that meet are verified with a banded bit-parallel edit distance.
 
 Equal lines meet before anything else, so copies add nothing.  Besides its segment, an
-offer carries a parity sketch of the line's characters: an edit flips two bits at most,
-so lines of a common segment that differ elsewhere fall away inside the join.
+offer carries a parity sketch of the line's characters and pairs of characters: an edit
+flips few bits, so lines of a common segment that differ elsewhere fall away in the join.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ MAX_EDITS = 2
 MIN_CHARS = 30
 _BASE = 0x9E3779B97F4A7C15
 _CELLS = 4 << 20
+_CLASSES = 31
 
 
 def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +69,16 @@ def offers(texts: list[str], edits: int, least: int) -> Iterator[tuple[np.ndarra
 
 
 def sketches(texts: list[str]) -> np.ndarray:
-    """Parity of the counts of characters in 32 classes, one bit each."""
-    codes, at = codes_of(texts)
-    bit = np.uint64(1) << (mix64(codes.astype(np.uint64)) & np.uint64(31))
+    """Parity of the counts of characters in 31 classes (low bits) and of pairs of neighbours (next bits).
+
+    An edit changes two characters at most, one gone and one new, and so four pairs.
+    """
+    codes, at = codes_of([t + "\0" for t in texts])
+    codes = codes.astype(np.uint64)
+    pair = mix64(codes * np.uint64(_BASE) + np.append(codes[1:], np.uint64(0)))
+    bit = np.uint64(1) << (mix64(codes) % np.uint64(_CLASSES))
+    bit ^= np.uint64(1) << (np.uint64(_CLASSES) + pair % np.uint64(_CLASSES))
+    bit[at[1:] - 1] = 0  # what ends a text belongs to none of its pairs
     return np.bitwise_xor.reduceat(bit, at[:-1]).astype(np.int64)
 
 
@@ -167,12 +175,15 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     # Each condition names both sides, so the two sides stay one and the same exchange.
     mine, theirs = F.col("probe.mark").bitwiseAND(1), F.col("own.mark").bitwiseAND(1)
     twice = F.when(F.col("probe.line") > F.col("own.line"), mine).otherwise(F.lit(0))
+    flips = F.col("probe.mark").bitwiseXOR(F.col("own.mark"))
+    low = ((1 << _CLASSES) - 1) << 1  # bit 0 tells own segments from probes
     met = probe.join(
         own,
         (F.col("probe.key") == F.col("own.key"))
         & (F.col("probe.line") != F.col("own.line"))
         & (theirs - twice == 1)
-        & (F.bit_count(F.shiftright(F.col("probe.mark").bitwiseXOR(F.col("own.mark")), 1)) <= 2 * edits),
+        & (F.bit_count(flips.bitwiseAND(F.lit(low))) <= 2 * edits)
+        & (F.bit_count(flips.bitwiseAND(F.lit(low << _CLASSES))) <= 4 * edits),
     )
     pairs = met.select(F.col("probe.line").alias("a"), F.col("own.line").alias("b")).distinct()
     texts = pairs.join(distinct.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
