@@ -177,9 +177,9 @@ def test_catalog_lines(spark):
     assert rows(read_snapshot(spark, path)) == rows(explode_lines(lines))
 
 
-def test_column_catalog(spark):
+def test_column_catalog(spark, measure=True):
     a = spark.createDataFrame([("Đa", 1), (None, 2)], "s string, n int")
-    out = column_catalog({"beta": a, "alpha": a.select("n"), "other": a}, "A")
+    out = column_catalog({"beta": a, "alpha": a.select("n"), "other": a}, "A", measure=True)
     assert rows(out) == [
         ("alpha", "n", "int", None, "N", 1),
         ("beta", "n", "int", None, "N", 2),
