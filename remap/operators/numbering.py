@@ -135,11 +135,15 @@ def priority_order(
     return numbered.select(*keep, "position")
 
 
+# Fixed value: the date that stands for a missing one.
+NO_DATE = "1900-01-01"
+
+
 def rank_by_latest(
     df: DataFrame, dates: list[str], then: list[Column], output: str = "rn"
 ) -> DataFrame:
     """Rank by the latest of several dates, newest first; NULL dates count 1900."""
-    floor = F.lit("1900-01-01").cast("timestamp_ntz")
+    floor = F.lit(NO_DATE).cast("timestamp_ntz")
     latest = F.greatest(*[F.coalesce(F.col(d), floor) for d in dates])
     ranked = number_rows(
         df.withColumn("__latest", latest), [F.col("__latest").desc(), *then], output=output

@@ -35,9 +35,13 @@ def history_by_job(
     runs: DataFrame, *, job: str = "job_id", run_at: str = "run_at", tie: str = "id",
     output: str = "position",
 ) -> DataFrame:
-    """Each job's runs numbered newest first; equal times keep the log order."""
+    """Each job's runs numbered newest first; equal times keep the log order.
+
+    The log is sorted and written once with the columns it has, so project it first:
+    its rows are narrow, and no join back to the log is needed.
+    """
     order = [F.col(run_at).desc_nulls_last(), F.col(tie).asc_nulls_last()]
-    return number_rows(runs, order, within=[job], key=[tie], output=output)
+    return number_rows(runs, order, within=[job], output=output)
 
 
 def newest_first(
@@ -45,7 +49,7 @@ def newest_first(
 ) -> DataFrame:
     """Whole log numbered newest first; equal times keep the log order."""
     order = [F.col(run_at).desc_nulls_last(), F.col(tie).asc_nulls_last()]
-    return number_rows(df, order, key=[tie], output=output)
+    return number_rows(df, order, output=output)
 
 
 def search(df: DataFrame, keyword: str, columns: list[str], joined: bool = False) -> DataFrame:

@@ -95,13 +95,11 @@ def _(t):
 @query(
     "split_name_parts",
     """
-    SELECT trim(substr(name, strpos(name, ',') + 1)) AS part_name,
-           min(code) AS code, max(status) AS status
-    FROM team_dim
-    WHERE strpos(name, ',') > 0
-      AND nullif(trim(substr(name, strpos(name, ',') + 1)), '') IS NOT NULL
-      AND trim(substr(name, strpos(name, ',') + 1)) <> 'Unassigned'
-    GROUP BY 1
+    WITH pieces AS (SELECT string_split(name, ',') AS piece, code, status FROM team_dim),
+    parts AS (SELECT trim(array_to_string(piece[2:], ',')) AS part_name, code, status
+              FROM pieces WHERE len(piece) > 1)
+    SELECT part_name, min(code) AS code, max(status) AS status
+    FROM parts WHERE part_name NOT IN ('', 'Unassigned') GROUP BY part_name
     """,
 )
 def _(t):

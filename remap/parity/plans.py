@@ -22,7 +22,7 @@ from remap.operators.lookup import CodeDim, Role, match_local_name
 from remap.operators.numbering import first_per_key
 from remap.operators.sizing import settled
 from remap.parity.lists import _tokens
-from remap.parity.lookups import PLACE_PREFIXES, regions
+from remap.parity.lookups import PLACE_PREFIXES, local_name_sql, regions
 from remap.parity.registry import RUN_AT, query
 from remap.plans.batch import run_batch
 from remap.plans.mapping import AuditBlock
@@ -54,10 +54,8 @@ def _owners(t, how: str = "inner") -> OwnerLink:
     LEFT JOIN segment_dim s ON s.code = p.segment
     LEFT JOIN region_map m ON trim(CAST(m.old_code AS string)) = trim(p.region_code_old)
     LEFT JOIN region_new r ON trim(m.new_code) = trim(r.code) AND coalesce(r.is_deleted, 0) = 0
-    LEFT JOIN ward_new w
-      ON trim(w.region_code) = trim(m.new_code)
-     AND regexp_replace(trim(p.ward_name), '^(Xã|Phường)\s+', '', 'i')
-         = regexp_replace(trim(w.name), '^(Xã|Phường)\s+', '', 'i')
+    LEFT JOIN (SELECT id, trim(region_code) AS region, {local_name_sql("name")} AS local_name FROM ward_new) w
+      ON w.region = trim(m.new_code) AND w.local_name = {local_name_sql("p.ward_name")}
     """,
 )
 def _(t):
@@ -329,18 +327,16 @@ def _(t):
 @query(
     "load_priors",
     f"""
-    WITH codes AS (SELECT DISTINCT l.code_list, c.id
-                   FROM (SELECT code_list, unnest(string_split(code_list, ';')) AS code
-                         FROM (SELECT DISTINCT code_list FROM detail_old) y) l
-                   JOIN code_dim c ON c.code = l.code),
-    ids AS (SELECT code_list, '[' || string_agg(CAST(id AS string), ',' ORDER BY id) || ']' AS s
-            FROM codes GROUP BY 1)
-    SELECT d.detail_id, n.id AS owner_id, i.s AS id_list, coalesce(a.id, 0) AS note_id,
-           '[' || coalesce(CAST(a.id AS string), '') || ']' AS note_list, {_AUDIT_SQL}
+    WITH token AS (
+        SELECT detail_id, unnest(string_split(code_list, ';')) AS code FROM detail_old),
+    known AS (
+        SELECT detail_id, list_sort(list(DISTINCT id)) AS ids FROM token JOIN code_dim USING (code) GROUP BY detail_id)
+    SELECT d.detail_id, n.id AS owner_id, '[' || array_to_string(known.ids, ',') || ']' AS id_list,
+           coalesce(a.id, 0) AS note_id, '[' || coalesce(CAST(a.id AS string), '') || ']' AS note_list, {_AUDIT_SQL}
     FROM detail_old d
     JOIN party_old o ON o.old_id = d.old_id
     JOIN party_new n ON n.file_no = o.file_no
-    LEFT JOIN ids i ON i.code_list = d.code_list
+    LEFT JOIN known ON known.detail_id = d.detail_id
     LEFT JOIN code_dim a ON a.code = d.code_a
     """,
 )

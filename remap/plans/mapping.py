@@ -50,6 +50,7 @@ class AuditBlock:
     creator: int | None = None
     touched: bool = False
 
+    # The names of the audit columns.
     def columns(self) -> Mapping:
         now = F.lit(self.run_at).cast("timestamp_ntz")
         return [
