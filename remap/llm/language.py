@@ -40,7 +40,7 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def text_slices(texts: list[str], limit: int = SLICE_BYTES // 4) -> Iterator[tuple[int, int]]:
+def text_slices(texts: list[str], limit: int = SLICE_BYTES // 16) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` characters, and of one row at least."""
     first = size = 0
     for i, t in enumerate(texts):
