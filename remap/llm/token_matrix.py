@@ -113,8 +113,8 @@ def pack_matrix(
         end = np.array([layout.end_id], dtype=np.uint32)
         for batch in batches:
             kind = batch.schema.field(0).type
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
                 keys += part.column(0).to_pylist()
                 for ids in encoder(spec.value).encode([t or "" for t in part.column(1).to_pylist()]):
                     if len(ids) and int(ids.max()) > limit:

@@ -21,9 +21,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remap.llm.tokens import encoder
+from remap.llm.tokens import CACHE_CHUNKS, encoder
 
-BLOCK_ITEMS = 1024
+BLOCK_ITEMS = 256
 BLOCK_TOKENS = 4_000_000
 
 
@@ -193,7 +193,7 @@ class Packer:
 
 def pack_documents(
     df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits | None = None,
-    end_id: int = 0, with_ids: bool = False,
+    end_id: int = 0, with_ids: bool = False, cache: int = CACHE_CHUNKS,
 ) -> DataFrame:
     """One row per piece: ``id_col``, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -201,7 +201,8 @@ def pack_documents(
     ``end_id``; a null or empty text is ``end_id`` alone.  Documents longer than a
     sequence are cut without loss; every id lies in one piece.  Sequences hold at most
     ``limits`` of tokens, pieces and loss-bearing tokens, and are exactly full or a
-    power of two long, so they need no padding.  ``with_ids`` adds the ids.  Repeated
+    power of two long, so they need no padding.  ``with_ids`` adds the ids; ``cache``
+    trades a worker's memory for the tokenizer's time and changes no result.  Repeated
     rows and null ids are packed like any other row; an empty table gives no rows.
     """
     limits = limits or Limits()
@@ -214,11 +215,11 @@ def pack_documents(
         kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
                 keys = part.column(0).to_pylist()
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for key, ids in zip(keys, encoder(spec.value).encode(texts)):
+                for key, ids in zip(keys, encoder(spec.value, cache).encode(texts)):
                     packer.add(_Document(key, np.concatenate((ids, end))))
                     tokens += len(ids)
                 if len(packer.waiting) >= BLOCK_ITEMS or tokens >= BLOCK_TOKENS:

@@ -37,11 +37,14 @@ def test_chunks_give_the_ids_of_the_whole_text(text):
     assert ENCODER.encode(["x <|endoftext|>" + text])[0].tolist() == ids_of("x <|endoftext|>" + text)
 
 
-def test_cache_starts_anew_beyond_its_bound(monkeypatch):
-    monkeypatch.setattr("remap.llm.tokens.CACHE_CHUNKS", 20)
+@pytest.mark.parametrize("bound", [20, 60, 200])
+def test_cache_forgets_beyond_its_bound(bound):
     own = Encoder(SPEC)
-    for i in range(10):
-        assert own.encode([prose(i, 30)])[0].tolist() == ids_of(prose(i, 30))
+    own.bound = bound
+    for i in range(30):
+        text = prose(i % 7, 30) + ", " + prose(i, 20) + "."
+        assert own.encode([text, prose(3, 9)])[0].tolist() == ids_of(text)
+        assert len(own.sizes) < bound + 250
 
 
 def check_pieces(rows, docs: list[tuple], limits: Limits, end: int = 0):
