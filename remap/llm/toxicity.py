@@ -95,7 +95,13 @@ class ChainField:
         return np.where(self.keys[at] == features, at, len(self.keys))
 
     def emissions(self, rows: np.ndarray) -> np.ndarray:
-        return self.bias + np.append(self.theta, 0.0)[rows].sum(axis=1)
+        """``rows`` from :meth:`rows`, one row of feature numbers per token."""
+        token, column = np.nonzero(rows < len(self.keys))
+        return self.weigh(token, rows[token, column], len(rows))
+
+    def weigh(self, token: np.ndarray, feature: np.ndarray, tokens: int) -> np.ndarray:
+        """Emission of every token from its known features only."""
+        return self.bias + np.bincount(token, self.theta[feature], minlength=tokens)
 
     def forward_backward(self, s: np.ndarray, lanes: Lanes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward odds, backward odds and exp of the emissions, each as a matrix of lanes."""
@@ -115,10 +121,13 @@ class ChainField:
 
     def marginals(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Probability of the toxic state, per token."""
-        if not len(features):
+        return self.emission_marginals(self.emissions(self.rows(features)), lengths)
+
+    def emission_marginals(self, s: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if not len(s):
             return np.zeros(0)
         lanes = Lanes.of(lengths)
-        f, b, _ = self.forward_backward(self.emissions(self.rows(features)), lanes)
+        f, b, _ = self.forward_backward(s, lanes)
         odds = (f * b).flat[lanes.at]
         return odds / (1 + odds)
 
@@ -142,26 +151,38 @@ def _summary(p: np.ndarray, at_word: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lift(features: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, the number of documents with each, and the signed likelihood ratio of toxicity."""
-    flat = np.stack((features.ravel(), np.repeat(doc, COLUMNS).astype(np.uint64)), axis=1)
-    flat = flat[flat[:, 0] != 0]
-    order = np.lexsort((flat[:, 1], flat[:, 0]))
-    flat = flat[order]
-    fresh = np.ones(len(flat), bool)
-    fresh[1:] = (flat[1:] != flat[:-1]).any(axis=1)
-    flat = flat[fresh]
-    keys, inverse, n = np.unique(flat[:, 0], return_inverse=True, return_counts=True)
-    hits = np.bincount(inverse, weights=toxic[flat[:, 1].astype(np.int64)], minlength=len(keys))
+def _sparse(features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features, and token and number of each occurrence.
+
+    A feature met less than three times tells nothing; such are dropped by a count of
+    hash buckets (which is never too low) before the sort, to keep the driver's memory low.
+    """
+    flat = features.ravel()
+    bucket = (flat >> np.uint64(42)).astype(np.int32)
+    often = np.bincount(bucket, minlength=1 << 22) >= 3
+    at = np.flatnonzero(often[bucket] & (flat != 0))
+    del bucket
+    keys, number = np.unique(flat[at], return_inverse=True)
+    return keys, (at // COLUMNS).astype(np.int32), number.astype(np.int32)
+
+
+def _lift(number: np.ndarray, kinds: int, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with each feature, and the signed likelihood ratio of toxicity given it.
+
+    ``number`` and ``doc`` have an entry for each occurrence of a feature.
+    """
+    pairs = np.unique(number * np.int64(len(toxic)) + doc)
+    n = np.bincount(pairs // len(toxic), minlength=kinds)
+    hits = np.bincount(pairs // len(toxic), weights=toxic[pairs % len(toxic)], minlength=kinds)
     total, positive = len(toxic), toxic.sum()
-    ratio = np.zeros(len(keys))
+    ratio = np.zeros(kinds)
     for seen, size, share in (
         (hits, n, positive / total), (n - hits, n, 1 - positive / total),
         (positive - hits, total - n, positive / total), (total - n - (positive - hits), total - n, 1 - positive / total),
     ):
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio += np.where(seen > 0, 2 * seen * np.log(seen / (size * share)), 0)
-    return keys, n, np.where(hits * total > n * positive, ratio, -ratio)
+    return n, np.where(hits * total > n * positive, ratio, -ratio)
 
 
 def _collect(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +204,8 @@ def _collect(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.n
     rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col("toxic").cast("int").alias("toxic"))
     table = rows.mapInArrow(run, "features binary, toxic int").toPandas()
     docs = [np.frombuffer(x, np.uint64).reshape(-1, COLUMNS) for x in table["features"]]
-    order = sorted(range(len(docs)), key=lambda i: docs[i].tobytes()[:256])  # whatever order Spark returned
+    # One order whatever Spark returned; documents that agree so far are as good as equal.
+    order = sorted(range(len(docs)), key=lambda i: docs[i][:64].tobytes())
     lengths = np.array([len(docs[i]) for i in order], dtype=np.int64)
     toxic = table["toxic"].to_numpy(dtype=np.int64)[order]
     features = np.concatenate([docs[i] for i in order]) if docs else np.zeros((0, COLUMNS), np.uint64)
@@ -192,7 +214,7 @@ def _collect(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.n
 
 def train(
     documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-    toxic_rows: int = 1500, clean_rows: int = 3000, rounds: int = 40,
+    toxic_rows: int = 1400, clean_rows: int = 2600, rounds: int = 40,
 ) -> ChainField:
     """Fit the field on at most ``toxic_rows`` and ``clean_rows`` labelled documents.
 
@@ -218,23 +240,28 @@ def train(
         return ChainField(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros(3), np.array([-40.0, 0, 0]))
 
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    keys, n, ratio = _lift(features, doc, toxic)
+    keys, token, number = _sparse(features)
+    del features
+    n, ratio = _lift(number, len(keys), doc[token], toxic)
     significant = ratio > 25
-    frequent = n >= max(5, np.sort(n)[-min(len(n), 1000)])
-    model = ChainField(keys[significant | frequent], np.zeros(0), -3.0, np.array([-1.0, 0.0, 0.0]), np.zeros(3))
+    chosen = significant | (n >= max(5, np.sort(n)[-min(len(n), 1000)] if len(n) else 5))
+    model = ChainField(keys[chosen], np.zeros(0), -3.0, np.array([-1.0, 0.0, 0.0]), np.zeros(3))
     model.theta = np.zeros(len(model.keys))
-    rows = model.rows(features)
-    telling = np.append(np.isin(model.keys, keys[significant]), False)
-    y = (telling[rows].any(axis=1) & (toxic[doc] == 1)).astype(np.float64)
-    _fit_chain(model, rows, y, lengths, rounds)
-    _fit_blend(model, features, lengths, toxic, known)
+    telling = np.zeros(len(doc), bool)
+    telling[token[significant[number]]] = True
+    y = (telling & (toxic[doc] == 1)).astype(np.float64)
+    known_ones = chosen[number]
+    token, feature = token[known_ones], (np.cumsum(chosen) - 1).astype(np.int32)[number[known_ones]]
+    del number, known_ones, telling
+    _fit_chain(model, token, feature, y, lengths, rounds)
+    _fit_blend(model, model.weigh(token, feature, len(doc)), lengths, toxic, known)
     kept = np.abs(model.theta) > 0.05
     model.keys, model.theta = model.keys[kept], model.theta[kept]
     return model
 
 
-def _fit_chain(model: ChainField, rows: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int) -> None:
-    """Gradient ascent (Adam) on the likelihood of the token labels."""
+def _fit_chain(model: ChainField, token: np.ndarray, feature: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int) -> None:
+    """Gradient ascent (Adam) on the likelihood of the token labels ``y``."""
     parts: list[int] = []
     for n in lengths.tolist():
         parts += [SEGMENT] * (n // SEGMENT) + [n % SEGMENT] * (n % SEGMENT > 0)
@@ -244,12 +271,13 @@ def _fit_chain(model: ChainField, rows: np.ndarray, y: np.ndarray, lengths: np.n
     inner = np.flatnonzero(inner)
     pairs = (1 - y[inner]) * y[inner + 1], y[inner] * (1 - y[inner + 1]), y[inner] * y[inner + 1]
     seen = np.array([x.sum() for x in pairs])
+    del pairs
     size = len(model.keys)
     w = np.concatenate((model.theta, [model.bias], model.moves))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
         model.theta, model.bias, model.moves = w[:size], w[size], w[size + 1 :]
-        f, b, e = model.forward_backward(model.emissions(rows), lanes)
+        f, b, e = model.forward_backward(model.weigh(token, feature, len(y)), lanes)
         f, b, e = (x.flat[lanes.at] for x in (f, b, e))
         p = f * b / (1 + f * b)
         t01, t10, t11 = np.exp(model.moves)
@@ -258,7 +286,7 @@ def _fit_chain(model: ChainField, rows: np.ndarray, y: np.ndarray, lengths: np.n
         total = 1 + weight[0] + weight[1] + weight[2]
         off = y - p
         g = np.concatenate((
-            np.bincount(rows.ravel(), np.repeat(off, COLUMNS), minlength=size + 1)[:size],
+            np.bincount(feature, off[token], minlength=size),
             [off.sum()],
             seen - [float((x / total).sum()) for x in weight],
         )) - 0.02 * w
@@ -267,10 +295,10 @@ def _fit_chain(model: ChainField, rows: np.ndarray, y: np.ndarray, lengths: np.n
     model.theta, model.bias, model.moves = w[:size], float(w[size]), w[size + 1 :]
 
 
-def _fit_blend(model: ChainField, features: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, known: DataFrame) -> None:
+def _fit_blend(model: ChainField, s: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, known: DataFrame) -> None:
     """Logistic of the document summary by Newton steps, weighted to the label shares of all rows."""
     shares = {r[0]: r[1] for r in known.groupBy(F.col("toxic").cast("int")).count().collect()}
-    x = _summary(model.marginals(features, lengths), np.concatenate(([0], np.cumsum(lengths))))
+    x = _summary(model.emission_marginals(s, lengths), np.concatenate(([0], np.cumsum(lengths))))
     weight = np.where(toxic == 1, shares[1] / max(1, (toxic == 1).sum()), shares[0] / max(1, (toxic == 0).sum()))
     weight = weight / weight.mean()
     w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])

@@ -42,8 +42,10 @@ def test_gradient_fits_labels():
     model = toxicity.ChainField(keys, np.zeros(2), -3.0, np.array([-1.0, 0, 0]), np.zeros(3))
     features = np.zeros((400, toxicity.COLUMNS), dtype=np.uint64)
     features[::10, 0], features[5::10, 0] = 7, 9
-    rows, lengths = model.rows(features), np.full(20, 20)
-    toxicity._fit_chain(model, rows, (features[:, 0] == 7).astype(float), lengths, 60)
+    keys, token, number = toxicity._sparse(features)
+    assert keys.tolist() == [7, 9] and len(token) == 80
+    lengths = np.full(20, 20)
+    toxicity._fit_chain(model, token, number, (features[:, 0] == 7).astype(float), lengths, 60)
     p = model.marginals(features, lengths)
     assert p[::10].min() > 0.9 and p[features[:, 0] != 7].max() < 0.1
 
