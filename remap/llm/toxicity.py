@@ -214,7 +214,7 @@ def _collect(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.n
 
 def train(
     documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-    toxic_rows: int = 1400, clean_rows: int = 2600, rounds: int = 40,
+    toxic_rows: int = 1300, clean_rows: int = 2200, rounds: int = 40,
 ) -> ChainField:
     """Fit the field on at most ``toxic_rows`` and ``clean_rows`` labelled documents.
 
