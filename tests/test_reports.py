@@ -75,7 +75,6 @@ def test_tail_filters_after_the_limit(spark):
     df = spark.range(20).selectExpr("id AS seq", "'u' || id % 2 AS usr")
     assert [x["seq"] for x in r.tail(df, 3).collect()] == [17, 18, 19]
     assert [x["seq"] for x in r.tail(df, 3, user="u0").collect()] == [18]
-    assert [r.clamp_tail(n) for n in (-5, 0, 7, 9999)] == [1, 1, 7, 5000]
 
 
 def test_summary_and_resume(spark, runs):
