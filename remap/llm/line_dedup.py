@@ -185,7 +185,9 @@ def near_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
         & (F.bit_count(flips.bitwiseAND(F.lit(low))) <= 2 * edits)
         & (F.bit_count(flips.bitwiseAND(F.lit(low << _CLASSES))) <= 4 * edits),
     )
-    pairs = met.select(F.col("probe.line").alias("a"), F.col("own.line").alias("b")).distinct()
+    # Lines of one length can meet from both sides, each by a probe of its own.
+    sides = F.col("probe.line"), F.col("own.line")
+    pairs = met.select(F.least(*sides).alias("a"), F.greatest(*sides).alias("b")).distinct()
     texts = pairs.join(distinct.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     texts = texts.join(distinct.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return texts.select("a", "b", "x", "y").mapInArrow(_verify(edits), "a long, b long")

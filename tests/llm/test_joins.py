@@ -104,6 +104,16 @@ def test_lines_against_brute_force(spark):
         assert kept.get(d) == ("\n".join(rest) if "".join(rest).strip() else None)
 
 
+def test_a_pair_that_meets_from_both_sides_is_one_link(spark):
+    """Of equal length, with the middle shifted by one: each line's probe meets the other's segment."""
+    base = "".join(random.Random(8).choices("abcdefghijklmnop ", k=60))
+    docs = [(1, base[:5] + "Q" + base[5:]), (2, base[:55] + "Z" + base[55:])]
+    got = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = lines_by_brute_force(docs, 2, 30)
+    assert {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_copies"], r["n_links"]) for r in got} == want
+    assert [n for *_, n in want.values()] == [1, 1]
+
+
 def test_lines_of_unusual_rows(spark):
     docs = odd_documents(spark)
     found = dedup_lines(docs).collect()
