@@ -175,13 +175,18 @@ def _overlap(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(rep: np.ndarray, block: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band: int, threshold: float):
-    """Links and local root of each class of one unit (arrays along ``rep``, which is ascending)."""
+def verify(
+    rep: np.ndarray, block: np.ndarray, lo: int, hi: int, sets: list[np.ndarray], bands: np.ndarray, band: int, threshold: float
+):
+    """Links and local root of each class of one unit (arrays along ``rep``, which is ascending).
+
+    A unit of two blocks pairs members across only; with one of them empty it has no pair.
+    """
     n = len(rep)
     links, forest = np.zeros(n, dtype=np.int64), Forest(n)
     size = np.array([len(s) for s in sets], dtype=np.float64)
-    across = block[0] != block[-1] or len(set(block.tolist())) > 1
-    sides = [np.flatnonzero(block == v) for v in np.unique(block)] if across else [np.arange(n)] * 2
+    across = lo != hi
+    sides = [np.flatnonzero(block == v) for v in (lo, hi)]
     for i in range(0, len(sides[0]), _CHUNK):
         a = sides[0][i : i + _CHUNK]
         for j in range(0 if across else i, len(sides[1]), _CHUNK):
@@ -212,12 +217,13 @@ def _verify(threshold: float):
         table = pa.Table.from_batches(rows)
         block, rep, h1 = (table.column(c).to_numpy() for c in ("block", "rep", "h1"))
         _, keep = np.unique(np.stack((rep, h1)), axis=1, return_index=True)  # sorted by rep, each once
-        if len(keep) < 2:
+        lo, hi = (int(table.column(c)[0].as_py()) for c in ("lo", "hi"))
+        if len(keep) < 2 or len(np.unique(block[keep])) < len({lo, hi}):
             return None
         sets = table.column("grams").to_pylist()
         bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.uint64).reshape(len(rep), -1)
         links, root = verify(
-            rep[keep], block[keep], [np.frombuffer(sets[k], np.uint64) for k in keep], bands[keep],
+            rep[keep], block[keep], lo, hi, [np.frombuffer(sets[k], np.uint64) for k in keep], bands[keep],
             int(table.column("band")[0].as_py()), threshold,
         )
         some = np.flatnonzero(links)

@@ -179,6 +179,21 @@ def test_near_copies_against_brute_force(spark, monkeypatch, unit):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == near_by_brute_force(docs)
 
 
+def test_blocks_without_a_partner_count_no_pair_again(spark, monkeypatch):
+    """Long near copies alone in their group, dealt into several blocks, some of which are empty."""
+    monkeypatch.setattr(jaccard_join, "UNIT_GRAMS", 60)
+    docs = list(enumerate(t for seed in range(20, 36) for t in family(seed, 2)))
+    got = join_near(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == near_by_brute_force(docs)
+
+
+def test_a_unit_of_two_blocks_pairs_across_only():
+    sets, bands = [np.arange(9, dtype=np.uint64)] * 3, np.ones((3, 2), np.uint64)
+    rep = np.arange(3)
+    for blocks, lo, hi, want in (([0, 0, 0], 0, 1, [0, 0, 0]), ([1, 1, 1], 0, 1, [0, 0, 0]), ([0, 1, 0], 0, 1, [1, 2, 1]), ([1, 1, 1], 1, 1, [2, 2, 2])):
+        assert jaccard_join.verify(rep, np.array(blocks), lo, hi, sets, bands, 0, 0.8)[0].tolist() == want
+
+
 def test_near_copies_of_unusual_rows(spark):
     docs = odd_documents(spark)
     got = join_near(docs).collect()
