@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remap.llm.texts import LOWER, buffers, mix64, slices, word_bounds, word_hashes
+from remap.session import materialize
 
 PREFIXES = (4, 5, 6)  # bytes
 COLUMNS = 1 + len(PREFIXES)
@@ -166,27 +167,58 @@ def _sparse(features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, (at // COLUMNS).astype(np.int32), number.astype(np.int32)
 
 
-def _lift(number: np.ndarray, kinds: int, doc: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents with each feature, and the signed likelihood ratio of toxicity given it.
+def _count(df: DataFrame) -> DataFrame:
+    """(feature, n, hits): documents and toxic documents with each feature, over all rows of (text, toxic)."""
 
-    ``number`` and ``doc`` have an entry for each occurrence of a feature.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            toxic = batch.column(1).to_numpy()
+            for a, z in slices(offsets, _SLICE):
+                low = LOWER[data[offsets[a] : offsets[z]]]
+                starts, ends, at_word = word_bounds(low, offsets[a : z + 1] - offsets[a])
+                flat = token_features(low, starts, ends).ravel()
+                doc = np.repeat(np.arange(a, z), np.diff(at_word) * COLUMNS)
+                order = np.argsort(flat, kind="stable")  # a feature's documents stay in order
+                flat, doc = flat[order], doc[order]
+                once = flat != 0
+                once[1:] &= (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
+                flat, hit = flat[once], toxic[doc[once]]
+                keys, first = np.unique(flat, return_index=True)
+                n = np.diff(np.append(first, len(flat)))
+                hits = np.diff(np.concatenate(([0], np.cumsum(hit)))[np.append(first, len(flat))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(hits.astype(np.int64))],
+                    ["feature", "n", "hits"],
+                )
+
+    counts = df.select("text", "toxic").mapInArrow(run, "feature long, n long, hits long")
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
+def _telling(total: int, positive: int) -> Column:
+    """Whether a feature of ``_count`` goes with toxicity: past the likelihood-ratio test, and by a margin.
+
+    With enough rows any difference passes the test, so the toxic share of the documents
+    with the feature must also be twice the share of all (or halfway to 1, where less).
     """
-    pairs = np.unique(number * np.int64(len(toxic)) + doc)
-    n = np.bincount(pairs // len(toxic), minlength=kinds)
-    hits = np.bincount(pairs // len(toxic), weights=toxic[pairs % len(toxic)], minlength=kinds)
-    total, positive = len(toxic), toxic.sum()
-    ratio = np.zeros(kinds)
-    for seen, size, share in (
-        (hits, n, positive / total), (n - hits, n, 1 - positive / total),
-        (positive - hits, total - n, positive / total), (total - n - (positive - hits), total - n, 1 - positive / total),
+    n, hits, share = F.col("n"), F.col("hits"), positive / total
+    ratio = F.lit(0.0)
+    for seen, size, part in (
+        (hits, n, share), (n - hits, n, 1 - share),
+        (positive - hits, total - n, share), (total - n - (positive - hits), total - n, 1 - share),
     ):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio += np.where(seen > 0, 2 * seen * np.log(seen / (size * share)), 0)
-    return n, np.where(hits * total > n * positive, ratio, -ratio)
+        ratio += F.when(seen > 0, 2 * seen * F.log(seen / (size * part))).otherwise(0.0)
+    return (ratio > 25) & (hits >= n * min(2 * share, (1 + share) / 2))
+
 
+def _longs(df: DataFrame) -> np.ndarray:
+    """The features of ``df``, ascending."""
+    return np.sort(df.select("feature").toPandas()["feature"].to_numpy(dtype=np.int64).view(np.uint64))
 
-def _collect(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token features, tokens per document and label of the sampled rows."""
+
+def _collect(df: DataFrame, model: ChainField) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token and number of each known feature, tokens per document and label of the sampled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,29 +227,38 @@ def _collect(df: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.n
                 low = LOWER[data[offsets[a] : offsets[z]]]
                 starts, ends, at_word = word_bounds(low, offsets[a : z + 1] - offsets[a])
                 found = token_features(low, starts, ends)
+                rows = model.rows(found)
+                sparse = []
+                for i, j in zip(at_word, at_word[1:]):
+                    token, column = np.nonzero(rows[i:j] < len(model.keys))
+                    sparse.append((token.astype(np.int32).tobytes(), rows[i:j][token, column].astype(np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([found[i:j].tobytes() for i, j in zip(at_word, at_word[1:])], pa.binary()),
-                     batch.column(1)[a:z]],
-                    ["features", "toxic"],
+                    [pa.array([found[i : min(j, i + 64)].tobytes() for i, j in zip(at_word, at_word[1:])], pa.binary()),
+                     pa.array([t for t, _ in sparse], pa.binary()), pa.array([f for _, f in sparse], pa.binary()),
+                     pa.array(np.diff(at_word).astype(np.int64)), batch.column(1)[a:z]],
+                    ["head", "token", "feature", "n", "toxic"],
                 )
 
-    rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    table = rows.mapInArrow(run, "features binary, toxic int").toPandas()
-    docs = [np.frombuffer(x, np.uint64).reshape(-1, COLUMNS) for x in table["features"]]
+    schema = "head binary, token binary, feature binary, n long, toxic int"
     # One order whatever Spark returned; documents that agree so far are as good as equal.
-    order = sorted(range(len(docs)), key=lambda i: docs[i][:64].tobytes())
-    lengths = np.array([len(docs[i]) for i in order], dtype=np.int64)
-    toxic = table["toxic"].to_numpy(dtype=np.int64)[order]
-    features = np.concatenate([docs[i] for i in order]) if docs else np.zeros((0, COLUMNS), np.uint64)
-    return features, lengths, toxic
+    table = df.select("text", F.col("toxic").cast("int")).mapInArrow(run, schema).toPandas().sort_values("head", kind="stable")
+    lengths, toxic = table["n"].to_numpy(dtype=np.int64), table["toxic"].to_numpy(dtype=np.int64)
+    token = [np.frombuffer(t, np.int32) + np.int32(at) for t, at in zip(table["token"], np.cumsum(lengths) - lengths)]
+    feature = [np.frombuffer(f, np.int32) for f in table["feature"]]
+    none = [np.zeros(0, np.int32)]
+    return np.concatenate(token + none), np.concatenate(feature + none), lengths, toxic
 
 
 def train(
     documents: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",
-    toxic_rows: int = 1300, clean_rows: int = 2200, rounds: int = 40,
+    toxic_rows: int = 1500, clean_rows: int = 3000, rounds: int = 40,
 ) -> ChainField:
     """Fit the field on at most ``toxic_rows`` and ``clean_rows`` labelled documents.
 
+    Which features tell of toxicity is counted over all labelled documents; only those
+    and the 1000 commonest reach the driver.  The weight of a telling feature is its own,
+    learned from the sample, and one that all share, so one that the sample lacks counts too.
+
     ``labels`` has ``id_col`` and ``toxic`` (0 or 1; rows with a null count as
     unlabelled, an id labelled both ways as toxic).  The documents of the sample are
     those with the smallest hash of their id.  Without a toxic and a clean document
@@ -235,26 +276,30 @@ def train(
     # The broadcast side has at most toxic_rows + clean_rows rows.
     ids = spark.createDataFrame(list(chosen.items()), f"sample_id {id_type}, toxic int")
     rows = documents.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{text_col}`").alias("text"))
-    features, lengths, toxic = _collect(rows.join(F.broadcast(ids), "sample_id").drop("sample_id"), "text")
+    untrained = ChainField(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros(3), np.array([-40.0, 0, 0]))
+    labelled = known.groupBy(F.col("id").alias("sample_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    counted = rows.join(labelled, "sample_id")
+    total, positive = counted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < positive < total:
+        return untrained
+    counts = materialize(_count(counted), "features")
+    telling_keys = _longs(counts.where(_telling(total, positive)))
+    common = _longs(counts.where("n >= 5").orderBy(F.desc("n"), "feature").limit(1000))
+    keys = np.union1d(telling_keys, common)
+    model = ChainField(keys, np.zeros(len(keys) + 1), -3.0, np.array([-1.0, 0.0, 0.0]), np.zeros(3))
+    token, feature, lengths, toxic = _collect(rows.join(F.broadcast(ids), "sample_id"), model)
     if len(set(toxic.tolist())) < 2:
-        return ChainField(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros(3), np.array([-40.0, 0, 0]))
-
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    keys, token, number = _sparse(features)
-    del features
-    n, ratio = _lift(number, len(keys), doc[token], toxic)
-    significant = ratio > 25
-    chosen = significant | (n >= max(5, np.sort(n)[-min(len(n), 1000)] if len(n) else 5))
-    model = ChainField(keys[chosen], np.zeros(0), -3.0, np.array([-1.0, 0.0, 0.0]), np.zeros(3))
-    model.theta = np.zeros(len(model.keys))
-    telling = np.zeros(len(doc), bool)
-    telling[token[significant[number]]] = True
-    y = (telling & (toxic[doc] == 1)).astype(np.float64)
-    known_ones = chosen[number]
-    token, feature = token[known_ones], (np.cumsum(chosen) - 1).astype(np.int32)[number[known_ones]]
-    del number, known_ones, telling
-    _fit_chain(model, token, feature, y, lengths, rounds)
-    _fit_blend(model, model.weigh(token, feature, len(doc)), lengths, toxic, known)
+        return untrained
+
+    telling = np.isin(keys, telling_keys)
+    tells = telling[feature]
+    y = np.zeros(int(lengths.sum()))
+    y[token[tells]] = 1
+    y *= np.repeat(toxic, lengths)
+    shared = np.full(int(tells.sum()), len(keys), dtype=np.int32)
+    _fit_chain(model, np.concatenate((token, token[tells])), np.concatenate((feature, shared)), y, lengths, rounds)
+    model.theta = model.theta[:-1] + model.theta[-1] * telling
+    _fit_blend(model, model.weigh(token, feature, len(y)), lengths, toxic, known)
     kept = np.abs(model.theta) > 0.05
     model.keys, model.theta = model.keys[kept], model.theta[kept]
     return model
@@ -272,7 +317,7 @@ def _fit_chain(model: ChainField, token: np.ndarray, feature: np.ndarray, y: np.
     pairs = (1 - y[inner]) * y[inner + 1], y[inner] * (1 - y[inner + 1]), y[inner] * y[inner + 1]
     seen = np.array([x.sum() for x in pairs])
     del pairs
-    size = len(model.keys)
+    size = len(model.theta)
     w = np.concatenate((model.theta, [model.bias], model.moves))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):

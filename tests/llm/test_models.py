@@ -80,6 +80,23 @@ def test_toxicity_of_unusual_rows(spark):
     assert toxicity.score(empty, toxicity.train(empty, labels.where("false")), "text", ["doc_id"]).count() == 0
 
 
+def test_a_word_that_the_sample_hardly_meets_is_learned(spark):
+    """Counts behind the token labels cover all labelled rows, not the sample alone."""
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        bad = ("zorgblat" if i % 130 == 0 else "frobnixes") if toxic else ""
+        docs.append((i, f"{prose(i, 20)} {bad} {prose(5000 + i, 20)}"))
+        labels.append((i, int(toxic)))
+    docs += [(9000, f"{prose(9000, 15)} zorgblat {prose(9001, 15)}"), (9001, prose(9002, 30))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), toxic_rows=30, clean_rows=60)
+    found = {r["doc_id"]: r for r in toxicity.score(df.where("doc_id >= 9000"), model, "text", ["doc_id"]).collect()}
+    (span,) = found[9000]["spans"]
+    assert docs[1500][1][span["start"] : span["end"]] == "zorgblat" and found[9000]["predicted"] == 1
+    assert not found[9001]["spans"] and found[9001]["predicted"] == 0
+
+
 @data
 def test_language_on_held_out_rows(spark):
     found = op3_language_id(spark, SF_DIR).toPandas()
