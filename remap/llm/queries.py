@@ -15,6 +15,7 @@ from remap.llm.jaccard_join import join_near
 from remap.llm.language import held_out
 from remap.llm.line_dedup import dedup_lines
 from remap.llm.preference import preference_examples, swapped_replies
+from remap.llm.secrets import ASSIGN, BASE_RULES, scan_secrets, span_text
 from remap.llm.texts import table
 from remap.llm.token_matrix import pack_matrix
 from remap.llm.tokens import tokenizer_spec
@@ -253,6 +254,55 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``, scanned once per distinct text."""
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    base = tuple(r.kind for r in BASE_RULES)
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(span_text(F.col("spans"), base), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"))
+
+
+def _scan_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return (f"SELECT doc_id, '{kind}' AS kind, {order} AS ord, {least} AS least, "
+            f"regexp_extract_all(t, '{quoted}', 0) AS found, regexp_extract_all(t, '{quoted}', {group}) AS grp, "
+            f"string_split_regex(t, '{quoted}') AS gaps FROM doc")
+
+
+# The SQL takes the contract's patterns as written (runs of any length, then the test).
+OP11_SQL = f"""
+    WITH doc AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    scan AS (
+        {_scan_sql("assign", 0, ASSIGN.pattern, 2, 12)}
+        UNION ALL {_scan_sql("access", 1, "AKIA[A-Z0-9]+", 0, 18)}
+        UNION ALL {_scan_sql("hex", 2, "[0-9a-f]+", 0, 16)}
+        UNION ALL {_scan_sql("pem", 3, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)}
+        UNION ALL {_scan_sql("personal_token", 4, "gh[pousr]_[A-Za-z0-9]{{36,}}", 0, 36)}),
+    each AS (
+        SELECT doc_id, kind, ord, least, i, length(found[i]) AS m_len, length(grp[i]) AS g_len,
+               length(gaps[i]) AS p_len
+        FROM scan, unnest(generate_series(1, len(found))) AS u(i)),
+    placed AS (
+        SELECT *, sum(p_len + m_len) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM each),
+    span AS (SELECT doc_id, kind, ord, e - m_len AS s, e FROM placed WHERE g_len >= least),
+    per_doc AS (
+        SELECT doc_id,
+               count(*) FILTER (WHERE kind = 'assign') AS n_assign,
+               count(*) FILTER (WHERE kind = 'access') AS n_access,
+               count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord)
+                   FILTER (WHERE ord < 3) AS base,
+               string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+        FROM span GROUP BY doc_id)
+    SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign,
+           CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM doc LEFT JOIN per_doc USING (doc_id)
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -264,11 +314,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_preference_format": op8_preference_format,
     "op9_token_matrix": op9_token_matrix,
     "op10_fingerprint": op10_fingerprint,
+    "op11_secrets": op11_secrets,
 }
 _SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_jaccard_join": OP6_SQL,
-    "op8_preference_format": OP8_SQL}
+    "op8_preference_format": OP8_SQL, "op11_secrets": OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
