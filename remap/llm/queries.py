@@ -14,6 +14,7 @@ from remap.llm.digest import compare_with_next
 from remap.llm.jaccard_join import join_near
 from remap.llm.language import held_out
 from remap.llm.line_dedup import dedup_lines
+from remap.llm.merkle import manifest
 from remap.llm.preference import preference_examples, swapped_replies
 from remap.llm.secrets import ASSIGN, BASE_RULES, scan_secrets, span_text
 from remap.llm.texts import table
@@ -303,6 +304,13 @@ OP11_SQL = f"""
 """
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents``, and the check of texts whose line breaks were deleted."""
+    docs = table(spark, sf_dir, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return manifest(docs, F.when(touched, F.translate("text", "\n", "")).otherwise(F.col("text")))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -315,6 +323,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_matrix": op9_token_matrix,
     "op10_fingerprint": op10_fingerprint,
     "op11_secrets": op11_secrets,
+    "op12_merkle": op12_merkle,
 }
 _SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
