@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remap.llm import language, toxicity
+from remap.llm.collocations import mine_collocations
 from remap.llm.decontamination import find_overlaps
 from remap.llm.digest import compare_with_next
 from remap.llm.jaccard_join import join_near
@@ -311,6 +312,54 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, F.when(touched, F.translate("text", "\n", "")).otherwise(F.col("text")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 best phrases of 2 to 5 words of ``documents`` texts."""
+    return mine_collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+    WITH doc AS (
+        SELECT coalesce(lang, 'und') AS lang,
+               regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+        FROM documents),
+    piece AS (
+        SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS ws
+        FROM doc, unnest(ps) AS u(p)),
+    total AS (SELECT lang, sum(len(ws)) AS n FROM piece GROUP BY lang),
+    gram AS (
+        SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase
+        FROM piece, range(1, 6) AS kk(k), unnest(generate_series(1, len(ws) - k + 1)) AS u(i)),
+    freq AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL),
+    cand AS (SELECT * FROM freq WHERE k >= 2 AND f >= 100),
+    cut AS (
+        SELECT c.lang, c.phrase, c.f AS a, j,
+               array_to_string(string_split(c.phrase, ' ')[1 : j], ' ') AS lp,
+               array_to_string(string_split(c.phrase, ' ')[j + 1 :], ' ') AS rp
+        FROM cand AS c, range(1, 5) AS jj(j) WHERE j < c.k),
+    scored AS (
+        SELECT cut.lang, cut.phrase, a, j, fl.f AS l, fr.f AS r, n,
+               (CAST(1000 AS HUGEINT) * a * n) // (CAST(fl.f AS HUGEINT) * fr.f) AS score
+        FROM cut JOIN freq AS fl ON fl.lang = cut.lang AND fl.phrase = lp
+                 JOIN freq AS fr ON fr.lang = cut.lang AND fr.phrase = rp JOIN total ON total.lang = cut.lang),
+    best AS (
+        SELECT * FROM scored
+        QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    inner_ AS (
+        SELECT lang, array_to_string(string_split(phrase, ' ')[1 : k - 1], ' ') AS part, f FROM freq WHERE k >= 3
+        UNION ALL
+        SELECT lang, array_to_string(string_split(phrase, ' ')[2 :], ' '), f FROM freq WHERE k >= 3),
+    kept AS (
+        SELECT * FROM best AS b
+        WHERE NOT EXISTS (SELECT 1 FROM inner_ AS i WHERE i.lang = b.lang AND i.part = b.phrase AND i.f >= b.a)),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC) AS rank FROM kept)
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+           CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM ranked WHERE rank <= 2000
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
@@ -324,11 +373,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fingerprint": op10_fingerprint,
     "op11_secrets": op11_secrets,
     "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 _SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op4_url_filter": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_jaccard_join": OP6_SQL,
-    "op8_preference_format": OP8_SQL, "op11_secrets": OP11_SQL}
+    "op8_preference_format": OP8_SQL, "op11_secrets": OP11_SQL,
+    "op13_collocations": OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
