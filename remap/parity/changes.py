@@ -105,3 +105,41 @@ def _(t):
 def _(t):
     rows = t.detail_old.select("detail_id", "action")
     return update_by_key(rows, key="detail_id", value=100, assign={"action": F.lit("done")})
+
+
+@query(
+    "merge_partitioned",
+    """
+    SELECT d.id, d.name, coalesce(e.id, -1) AS parent_id
+    FROM team_dim d LEFT JOIN team_existing e ON e.name = trim(split_part(d.name, ',', 2))
+    """,
+)
+def _(t):
+    """The merge of ``merge_update`` into a table kept by key: only hit partitions are rewritten."""
+    from remap.operators.joins import join_on_key
+    from remap.plans.steps import parent_name
+    from remap.session import new_path
+    from remap.sinks.keyed import merge_partitioned, read_keyed, store_by_key
+
+    path = new_path(t.spark, "keyed-teams")
+    teams = t.team_dim.select("id", "name", F.lit(-1).cast("bigint").alias("parent_id"))
+    store_by_key(teams, path, key="id")
+    parents = t.team_existing.select(F.col("id").alias("new_parent"), F.col("name").alias("p_name"))
+    source = join_on_key(teams.select("id", "name"), parents, parent_name("name", "Unassigned"), "p_name")
+    merge_partitioned(t.spark, path, source, key="id", source_key="id", assign={"parent_id": "new_parent"})
+    return read_keyed(t.spark, path)
+
+
+@query(
+    "delete_partitioned",
+    "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+)
+def _(t):
+    """The delete of ``delete_by_ids`` from a table kept by key: only hit partitions are rewritten."""
+    from remap.session import new_path
+    from remap.sinks.keyed import delete_partitioned, read_keyed, store_by_key
+
+    path = new_path(t.spark, "keyed-docs")
+    store_by_key(t.documents.select("doc_id", "lang", "source"), path, key="doc_id")
+    delete_partitioned(t.spark, path, t.labels, key="doc_id", id_column="doc_id")
+    return read_keyed(t.spark, path)
