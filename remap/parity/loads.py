@@ -71,6 +71,26 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+@query(
+    "reload_published",
+    f"SELECT row_number() OVER (ORDER BY detail_no) AS id, * FROM ({_FLAGSHIP}) x",
+)
+def _(t):
+    """The full reload, published by pointer: a new version folder and one catalog statement."""
+    import uuid
+
+    from remap.sinks.publish import publish
+
+    name = f"published_detail_{uuid.uuid4().hex[:12]}"
+    result = publish(
+        t.spark, lambda: flagship(t), name, new_path(t.spark, "published"),
+        job="details", table="detail", id_order=[F.col("detail_no").asc()],
+    )
+    if result.status != "success":
+        raise RuntimeError(result.message)
+    return t.spark.table(name)
+
+
 @query(
     "reload_truncate",
     f"SELECT * FROM ({_FLAGSHIP}) x",
