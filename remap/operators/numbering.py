@@ -38,6 +38,8 @@ def number_rows(
     and written once; the rest is a running total over one count per partition.
     ``order`` has to be total (end it with a unique column) for the numbers to
     be repeatable; ``None`` numbers the rows as they lie and skips the shuffle.
+    With ``key`` the range partitions are counted from the measured bytes of the
+    key (:data:`RANGE_BYTES` each); without, Spark's shuffle partitions apply.
 
     ``within`` restarts the count for every group; a group larger than a
     partition simply spans several.  ``key`` names unique, never-NULL columns:
@@ -47,7 +49,10 @@ def number_rows(
     """
     groups = within or []
     sort = [F.col(g).asc_nulls_last() for g in groups] + list(order or [])
-    tagged = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
+    if sort and key:
+        tagged = df.repartitionByRange(_ranges(df, [*groups, *key]), *sort).sortWithinPartitions(*sort)
+    else:
+        tagged = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
     tagged = tagged.withColumn("__tag", F.monotonically_increasing_id())
     if key:
         tagged = tagged.select(*dict.fromkeys([*groups, *key]), "__tag")
@@ -66,6 +71,22 @@ def number_rows(
     return df.join(places, on).select(*[df[c] for c in df.columns], output)
 
 
+# Bytes of sorted narrow rows (key, order columns and tag) that one range partition holds.
+RANGE_BYTES = 64 << 20
+
+
+def _ranges(df: DataFrame, key: list[str]) -> int:
+    """Range partitions for the narrow sort, from the measured bytes of the key columns.
+
+    The key's bytes are measured (one pass over those columns only) and doubled for
+    the order columns and the tag that travel with it.
+    """
+    from remap.operators.sizing import measure
+
+    _, size = measure(df.select(*key))
+    return max(1, -(-2 * size // RANGE_BYTES))
+
+
 def _offsets(stored: DataFrame) -> tuple[DataFrame, Column]:
     """Rows joined to the rows before their partition: one row per partition."""
     running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -65,6 +65,7 @@ def _(t):
         job="details",
         table="detail",
         id_order=[F.col("detail_no").asc()],
+        id_key=["detail_no"],
     )
     if result.status != "success":
         raise RuntimeError(result.message)
@@ -84,7 +85,7 @@ def _(t):
     name = f"published_detail_{uuid.uuid4().hex[:12]}"
     result = publish(
         t.spark, lambda: flagship(t), name, new_path(t.spark, "published"),
-        job="details", table="detail", id_order=[F.col("detail_no").asc()],
+        job="details", table="detail", id_order=[F.col("detail_no").asc()], id_key=["detail_no"],
     )
     if result.status != "success":
         raise RuntimeError(result.message)

@@ -69,6 +69,7 @@ def reload_full(
     ids: bool = False,
     id_order: list[Column] | None = None,
     id_column: str = "id",
+    id_key: list[str] | None = None,
     count_deleted: bool = True,
 ) -> LoadResult:
     """Replace a table: build, stage, swap, and report the rows removed and added.
@@ -76,14 +77,16 @@ def reload_full(
     The old rows stay readable until the new table is complete.  A failing
     source leaves them untouched and gives an ``error`` result without counts.
     ``ids`` restarts the surrogate ids at 1, in any order, which needs no
-    shuffle; ``id_order`` asks for ids in a stated order.
+    shuffle; ``id_order`` asks for ids in a stated order.  ``id_key`` names unique,
+    never-NULL columns: then only they and the order are sorted and written to number
+    the rows, and the full width is written once, by the stage.
     """
     try:
         recover(spark, path)
         deleted = count_rows(spark, path) if count_deleted else None
         frame = build() if callable(build) else build
         if ids or id_order:
-            frame = assign_ids(frame, id_order, output=id_column)
+            frame = assign_ids(frame, id_order, output=id_column, key=id_key)
         staged = stage(frame, path)
         inserted = count_rows(spark, staged)
         swap(spark, staged, path)

@@ -72,11 +72,13 @@ def publish(
     keep: bool = True,
     id_order: list[Column] | None = None,
     id_column: str = "id",
+    id_key: list[str] | None = None,
     _stop_after: str | None = None,
 ) -> LoadResult:
     """Reload catalog table ``name`` by pointer; every failure becomes an ``error`` result.
 
-    ``id_order`` numbers the rows from 1 in that order.  ``_stop_after`` ("write" or
+    ``id_order`` numbers the rows from 1 in that order; with ``id_key`` (unique,
+    never-NULL columns) only they and the order are written to number them.  ``_stop_after`` ("write" or
     "point") raises there, for tests of the failure points.
     """
     try:
@@ -84,7 +86,7 @@ def publish(
         deleted = count_rows(spark, old) if old else 0
         frame = build() if callable(build) else build
         if id_order:
-            frame = assign_ids(frame, id_order, output=id_column)
+            frame = assign_ids(frame, id_order, output=id_column, key=id_key)
         version = f"{root}/{VERSION_PREFIX}{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(version)
         inserted = count_rows(spark, version)
