@@ -524,3 +524,30 @@ def _(t):
     return read_records(t.spark, f"{path}/log/history", HISTORY).select(
         "id", "stmt_id", "job_name", "run_at", "status", "delete_rows", "insert_rows"
     )
+
+
+@query(
+    "load_bucketed",
+    """
+    SELECT 'open' AS load, d.detail_id, n.id AS owner_id
+    FROM detail_old d JOIN party_old o ON o.old_id = d.old_id JOIN party_new n ON n.file_no = o.file_no
+    WHERE d.action = 'OPEN'
+    UNION ALL
+    SELECT 'other', d.detail_id, n.id
+    FROM detail_old d JOIN party_old o ON o.old_id = d.old_id JOIN party_new n ON n.file_no = o.file_no
+    WHERE d.action IS NULL OR d.action <> 'OPEN'
+    """,
+)
+def _(t):
+    """Two loads of one batch over details and crosswalk bucketed by owner: no exchange at the join."""
+    from remap.operators.crosswalk import crosswalk
+    from remap.plans.bucketed import attach_owner_bucketed, bucket_by_owner
+
+    details, owners = bucket_by_owner(
+        t.spark, t.detail_old.select("detail_id", "old_id", "action"), crosswalk(t.party_old, t.party_new))
+    loads = [("open", F.col("action") == "OPEN"), ("other", F.col("action").isNull() | (F.col("action") != "OPEN"))]
+    frames = [
+        attach_owner_bucketed(details.where(where), owners).select(F.lit(name).alias("load"), "detail_id", "owner_id")
+        for name, where in loads
+    ]
+    return frames[0].unionByName(frames[1])
