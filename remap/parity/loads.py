@@ -257,6 +257,38 @@ def _(t):
     return loads.purge_ordered(t.spark, [(n, f"{path}/{n}") for n in names])
 
 
+# The foreign keys of the given tables, as (child, parent).
+TABLE_DEPENDENCIES = [
+    ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier"), ("orders", "customer"),
+    ("customer", "nation"), ("supplier", "nation"), ("nation", "region"),
+]
+_DEPENDENCY_ROWS = ", ".join(f"('{c}', '{p}')" for c, p in TABLE_DEPENDENCIES)
+_PURGED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+@query(
+    "purge_by_dependency",
+    f"""
+    WITH RECURSIVE deps(child, parent) AS (VALUES {_DEPENDENCY_ROWS}),
+    up(t, level) AS (
+        SELECT child, 0 FROM deps WHERE child NOT IN (SELECT parent FROM deps)
+        UNION ALL SELECT d.parent, u.level + 1 FROM up u JOIN deps d ON d.child = u.t),
+    lv AS (SELECT t, max(level) AS level FROM up GROUP BY t),
+    sizes AS ({" UNION ALL ".join(f"SELECT '{n}' AS t, count(*) AS n FROM {n}" for n in _PURGED)})
+    SELECT CAST(level AS int) AS level, t AS target_table, n AS rows_deleted FROM lv JOIN sizes USING (t)
+    """,
+)
+def _(t):
+    """The given tables purged in the order their foreign keys ask, one step per level."""
+    from remap.plans.dependencies import purge_by_dependency
+
+    path = new_path(t.spark, "purge-deps")
+    for name in _PURGED:
+        getattr(t, name).write.parquet(f"{path}/{name}")
+    deps = t.spark.createDataFrame(TABLE_DEPENDENCIES, "child string, parent string")
+    return purge_by_dependency(t.spark, deps, {n: f"{path}/{n}" for n in _PURGED})
+
+
 @query("clone_schema", "SELECT detail_id, old_id, code_a, event_date, amount_due FROM detail_old")
 def _(t):
     path = new_path(t.spark, "clone")
