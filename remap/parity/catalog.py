@@ -132,6 +132,38 @@ def _(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(
+    "search_indexed",
+    f"""
+    SELECT 'history' AS log, id FROM run_history WHERE contains(lower(job_name), 'b_7')
+    UNION ALL
+    SELECT 'ledger', id FROM run_history
+    WHERE delete_rows > 0 AND contains('delete from ' || lower(target_table), 'from t_1')
+    UNION ALL
+    SELECT 'script', id FROM ({_SCRIPTS}) s WHERE contains(lower(filename), 'b_7.sql')
+    """,
+)
+def _(t):
+    """The searches of ``search_all_logs`` through trigram postings of the three logs."""
+    from remap.operators.search_index import index_texts, search_indexed
+
+    ledger = t.run_history.where("delete_rows > 0").select(
+        "id", F.concat(F.lit("DELETE FROM "), "target_table").alias("sql_delete")
+    )
+    logs = {
+        "history": (t.run_history, "job_name", "B_7"),
+        "ledger": (ledger, "sql_delete", "from T_1"),
+        "script": (_scripts(t), "filename", "b_7.SQL"),
+    }
+    parts = []
+    for log, (rows, column, keyword) in logs.items():
+        path = new_path(t.spark, f"postings-{log}")
+        index_texts(rows, path, id_col="id", columns=[column])
+        found = search_indexed(t.spark, path, rows, keyword, id_col="id", columns=[column])
+        parts.append(found.select(F.lit(log).alias("log"), "id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("activity_read", "SELECT seq, run_at, usr, action, status, meta FROM activity_log")
 def _(t):
     path = new_path(t.spark, "activity")
