@@ -62,10 +62,50 @@ def _log(spark: SparkSession, log_path: str, job_id: int, r: LoadResult, run_at:
 def _append(
     spark: SparkSession, path: str, shape: RecordShape, schema: str, rows: list[tuple], run_at: str
 ) -> None:
-    """Append records with ids that continue after the largest one."""
+    """Append records with ids that continue after the largest one, into the run's day folder.
+
+    The largest id comes from the log's high-water file, so a job reads no old record.
+    """
     if not rows:
         return
-    start = next_id(read_records(spark, path, shape)).first()[0] if exists(spark, path) else 1
+    start = high_water(spark, path, shape) + 1
     numbered = [(start + n, *row) for n, row in enumerate(rows)]
     frame = spark.createDataFrame(numbered, f"id bigint, {schema}")
-    write_records(frame.withColumn("run_at", F.lit(run_at)), path, shape)
+    write_records(frame.withColumn("run_at", F.lit(run_at)), f"{path}/{DAY}={run_at[:10]}", shape)
+    _set_high_water(spark, path, start + len(rows) - 1)
+
+
+DAY = "day"
+
+
+def high_water(spark: SparkSession, path: str, shape: RecordShape) -> int:
+    """The largest id of a log, from its one-row ``_highwater`` file.
+
+    A log written before that file existed is read once to find it.
+    """
+    mark = f"{path}/_highwater"
+    if exists(spark, mark):
+        return int(spark.read.schema("id bigint").json(mark).first()["id"])
+    if exists(spark, path):
+        return int(next_id(read_records(spark, path, shape)).first()[0]) - 1
+    return 0
+
+
+def _set_high_water(spark: SparkSession, path: str, largest: int) -> None:
+    spark.createDataFrame([(largest,)], "id bigint").coalesce(1).write.mode("overwrite").json(f"{path}/_highwater")
+
+
+def drop_days_before(spark: SparkSession, path: str, day: str) -> list[str]:
+    """Retention by folder: delete the day folders of a log older than ``day`` (YYYY-MM-DD)."""
+    from remap.sinks.files import _fs, remove
+
+    fs, folder = _fs(spark, path)
+    if not fs.exists(folder):
+        return []
+    gone = []
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(f"{DAY}=") and name[len(DAY) + 1 :] < day:
+            remove(spark, f"{path}/{name}")
+            gone.append(name)
+    return sorted(gone)
