@@ -5,10 +5,12 @@ words ``[^\\x20\\x09]+``.  Per language (null: ``und``), ``n`` counts all words
 ``f(p)`` all contiguous occurrences of phrase ``p`` inside pieces, overlaps included.
 
 Growth by prefix counts.  Only words with ``f >= least`` can lie in a phrase with
-``f >= least``, so rare words are masked (by a broadcast join when the frequent words
-measure small, else by a shuffle join) before phrases of 2 to ``longest`` words are
-generated from each piece and counted with a map-side partial aggregate; counts below
-``least`` go.  What remains, with the frequent words, is the table of *prefix counts*
+``f >= least``, and only pairs with ``f >= least`` in a longer one, so pairs are
+generated (per piece, in ``mapInArrow`` on word ids, vectorised) only from frequent
+words and longer phrases only from frequent pairs, then counted as id tuples with a
+map-side partial aggregate; counts below ``least`` go, and the rest are spelled out.
+Texts are cut into pieces and words once and the words written (zstd), so the three
+counting passes do not split the texts again.  What remains, with the frequent words, is the table of *prefix counts*
 from which every cut is scored: all parts of a candidate are at least as frequent.
 
 Bound.  A candidate's score is the least over its cuts of
@@ -32,6 +34,10 @@ without candidates gives no rows; repeated rows count twice; only ``lang`` and
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,39 +55,174 @@ WORD_BREAK = "[\\x20\\x09]+"
 _EXACT = "decimal(38,0)"
 
 
-def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, id, words) per non-empty piece; id is unique per piece."""
+def piece_texts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, piece) per lower-cased piece holding more than blanks."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
     cut = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
                       F.explode(F.split(text, PIECE_BREAK, -1)).alias("piece"))
+    return cut.where(F.length(F.translate("piece", " \t", "")) > 0)
+
+
+def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, words) per non-empty piece."""
+    return words_of(piece_texts(docs, lang_col, text_col))
+
+
+def words_of(cut: DataFrame) -> DataFrame:
     words = F.filter(F.split("piece", WORD_BREAK, -1), lambda w: w != "")
-    return cut.select("lang", words.alias("words")).where(F.size("words") > 0).withColumn(
-        "id", F.monotonically_increasing_id())
+    return cut.select("lang", words.alias("words")).where(F.size("words") > 0)
+
+
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` with zstd: the words are most of the text once more."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    try:
+        return materialize(df, label)
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", before)
+
+
+def _grams(vocab, pairs, ks: tuple[int, ...]):
+    """mapInPandas body: phrases of ``ks`` words whose words are all in ``vocab[lang]`` and,
+    from three words on, whose neighbouring pairs are all in ``pairs[lang]`` (None: no test)."""
+
+    def run(batches):
+        for pdf in batches:
+            langs, phrases = [], []
+            for lang, words in zip(pdf["lang"], pdf["words"]):
+                words = list(words)
+                n, good = len(words), vocab.value.get(lang, frozenset()) if vocab is not None else None
+                reach = [0] * (n + 1)  # frequent words in a row from i
+                for i in range(n - 1, -1, -1):
+                    reach[i] = reach[i + 1] + 1 if good is None or words[i] in good else 0
+                linked = None
+                if pairs is not None:
+                    known = pairs.value.get(lang, frozenset())
+                    linked = [0] * (n + 1)  # frequent pairs in a row from i
+                    for i in range(n - 2, -1, -1):
+                        linked[i] = linked[i + 1] + 1 if f"{words[i]} {words[i + 1]}" in known else 0
+                for i in range(n):
+                    for k in ks:
+                        if reach[i] >= k and (linked is None or linked[i] >= k - 1):
+                            langs.append(lang)
+                            phrases.append(" ".join(words[i : i + k]))
+            yield pd.DataFrame({"lang": langs, "phrase": phrases}, dtype=object)
+
+    return run
+
+
+def _gram_ids(vocab, pairs, ks: tuple[int, ...], longest: int):
+    """mapInArrow body: word ids (-1 padded to ``longest``) of phrases of ``ks`` words whose
+    words are all in ``vocab[lang]`` (a sorted list; the id is the place in it) and, with
+    ``pairs``, whose neighbouring pairs are all in ``pairs[lang]`` (sorted id1 * V + id2)."""
+
+    def run(batches):
+        indexes: dict[str, pd.Index] = {}
+        for batch in batches:
+            langs, words = batch.column(0), batch.column(1)
+            cols: dict[str, list] = {"lang": [], **{f"w{j}": [] for j in range(1, longest + 1)}}
+            for lang in pc.unique(langs).to_pylist():
+                part = pc.filter(words, pc.equal(langs, lang))
+                offsets = np.asarray(part.offsets, dtype=np.int64)
+                flat = part.flatten().to_numpy(zero_copy_only=False)
+                offsets = offsets - offsets[0]
+                if lang not in indexes:
+                    indexes[lang] = pd.Index(vocab.value.get(lang, []))
+                index = indexes[lang]
+                ids = index.get_indexer(flat).astype(np.int64)
+                n = len(ids)
+                if n == 0:
+                    continue
+                pos = np.arange(n)
+                ends = np.repeat(offsets[1:], np.diff(offsets))  # end of each word's piece
+                reach = np.minimum(np.minimum.accumulate(np.where(ids < 0, pos, n)[::-1])[::-1], ends) - pos
+                linked = None
+                if pairs is not None:
+                    nxt = np.roll(ids, -1)
+                    valid = (pos + 1 < ends) & (ids >= 0) & (nxt >= 0)
+                    ok = np.zeros(n, dtype=bool)
+                    ok[valid] = np.isin(ids[valid] * len(index) + nxt[valid], pairs.value.get(lang, np.zeros(0, np.int64)))
+                    linked = np.minimum.accumulate(np.where(ok, n, pos)[::-1])[::-1] - pos
+                for k in ks:
+                    hit = reach >= k if linked is None else (reach >= k) & (linked >= k - 1)
+                    at = np.nonzero(hit)[0]
+                    cols["lang"].append(np.full(len(at), lang, dtype=object))
+                    for j in range(1, longest + 1):
+                        cols[f"w{j}"].append(ids[at + j - 1].astype(np.int32) if j <= k else np.full(len(at), -1, np.int32))
+            arrays = [pa.array(np.concatenate(cols["lang"]) if cols["lang"] else np.zeros(0, object), pa.string())]
+            arrays += [pa.array(np.concatenate(cols[f"w{j}"]) if cols[f"w{j}"] else np.zeros(0, np.int32), pa.int32())
+                       for j in range(1, longest + 1)]
+            yield pa.RecordBatch.from_arrays(arrays, names=list(cols))
+
+    return run
+
+
+def _spelled(vocab, longest: int):
+    """mapInPandas body: the phrase of counted word ids."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                words = vocab.value[row.lang]
+                out.append(" ".join(words[w] for w in row[1 : longest + 1] if w >= 0))
+            yield pd.DataFrame({"lang": pdf["lang"], "phrase": out, "f": pdf["f"]})
+
+    return run
+
+
+def _measured(df: DataFrame, width: Column) -> int:
+    return df.select(F.sum(width)).first()[0] or 0
 
 
 def count_phrases(parts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """Counts (lang, phrase, k, f) of every phrase of 1 to ``longest`` words with f >= least, and n per lang."""
-    words = parts.select("lang", "id", F.posexplode("words").alias("i", "word"))
-    totals = parts.groupBy("lang").agg(F.sum(F.size("words")).cast("long").alias("n"))
-    singles = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-    singles = materialize(singles, "colloc-words")
-    size = singles.select(F.sum(F.length("word") + F.length("lang") + 16)).first()[0] or 0
-    known = F.broadcast(singles) if size <= BROADCAST_BYTES else singles
-    masked = words.join(known.select("lang", "word", F.lit(True).alias("ok")), ["lang", "word"], "left")
-    masked = masked.groupBy("lang", "id").agg(
-        F.sort_array(F.collect_list(F.struct("i", F.when(F.col("ok"), F.col("word")).alias("w")))).alias("s"))
-    masked = masked.select("lang", F.transform("s", lambda x: x["w"]).alias("w"))
-    grams = []
-    for k in range(2, longest + 1):
-        starts = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>"))
-        slices = F.transform(starts, lambda i: F.slice("w", i, k))
-        whole = F.filter(slices, lambda g: F.forall(g, lambda x: x.isNotNull()))
-        grams.append(F.transform(whole, lambda g: F.array_join(g, " ")))
-    phrases = masked.select("lang", F.explode(F.concat(*grams)).alias("phrase"))
-    counted = phrases.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-    counted = counted.withColumn("k", F.size(F.split("phrase", " ")))
-    table = singles.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f").unionByName(counted)
-    return materialize(table, "colloc-counts"), materialize(totals, "colloc-totals")
+    """Counts (lang, phrase, k, f) of every phrase of 1 to ``longest`` words with f >= least, and n per lang.
+
+    Apriori growth on word ids: pairs are counted only where both words are frequent,
+    longer phrases only where every neighbouring pair is frequent too, and only the
+    frequent phrases are spelled out again.  The frequent words and pairs go to the
+    tasks as broadcasts where they measure below BROADCAST_BYTES; beyond that, phrases
+    are generated as text without the test, which counts more but finds the same.
+    """
+    spark = parts.sparkSession
+    every = parts.select("lang", F.explode("words").alias("phrase")).groupBy("lang", "phrase").agg(
+        F.count(F.lit(1)).alias("f"))
+    every = materialize(every, "colloc-vocabulary")
+    totals = materialize(every.groupBy("lang").agg(F.sum("f").cast("long").alias("n")), "colloc-totals")
+    singles = every.where(F.col("f") >= least).withColumn("k", F.lit(1))
+    if _measured(singles, F.length("phrase") + F.length("lang") + 48) > BROADCAST_BYTES:
+        grams = parts.select("lang", "words").mapInPandas(_grams(None, None, tuple(range(2, longest + 1))),
+                                                         "lang string, phrase string")
+        counted = grams.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
+        counted = counted.withColumn("k", F.size(F.split("phrase", " ")))
+        return materialize(singles.unionByName(counted), "colloc-counts"), totals
+    vocab: dict[str, list[str]] = {}
+    for row in singles.select("lang", "phrase").toLocalIterator():
+        vocab.setdefault(row[0], []).append(row[1])
+    shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in vocab.items()})
+    schema = "lang string, " + ", ".join(f"w{j} int" for j in range(1, longest + 1))
+    ws = [f"w{j}" for j in range(1, longest + 1)]
+    found, pairs = [singles], None
+    for ks in ((2,), tuple(range(3, longest + 1))):
+        if not ks:
+            continue
+        grams = parts.select("lang", "words").mapInArrow(_gram_ids(shared, pairs, ks, longest), schema)
+        counted = grams.groupBy("lang", *ws).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
+        counted = materialize(counted, "colloc-ids")
+        if ks == (2,) and _measured(counted, F.lit(24)) <= BROADCAST_BYTES:
+            size = {k: len(v) for k, v in shared.value.items()}
+            keys: dict[str, list[int]] = {}
+            for row in counted.select("lang", "w1", "w2").toLocalIterator():
+                keys.setdefault(row[0], []).append(row[1] * size[row[0]] + row[2])
+            pairs = spark.sparkContext.broadcast({k: np.sort(np.array(v, np.int64)) for k, v in keys.items()})
+        spelled = counted.select("lang", *ws, "f").mapInPandas(_spelled(shared, longest), "lang string, phrase string, f long")
+        found.append(spelled.withColumn("k", F.size(F.split("phrase", " "))))
+    table = found[0]
+    for more in found[1:]:
+        table = table.unionByName(more)
+    return materialize(table.select("lang", "phrase", "k", "f"), "colloc-counts"), totals
 
 
 def _part(words: Column, first: int | Column, length: int | Column) -> Column:
@@ -135,7 +276,9 @@ def mine_collocations(
     text_col: str = "text",
 ) -> DataFrame:
     """Per language the ``top`` surviving phrases: lang, rank, phrase, a, l, r, n, score."""
-    counts, totals = count_phrases(pieces(docs, lang_col, text_col), least, longest)
+    # Split once: the three counting passes read the words, not the texts again.
+    parts = _stored(pieces(docs, lang_col, text_col), "colloc-pieces")
+    counts, totals = count_phrases(parts, least, longest)
     singles = counts.where(F.col("k") == 1).select("lang", F.col("phrase").alias("__w"), F.col("f").alias("__fw"))
     cands = counts.where(F.col("k") >= 2).withColumn("__ws", F.split("phrase", " "))
     ends = cands.withColumns({"__first": F.element_at("__ws", 1), "__last": F.element_at("__ws", -1)})

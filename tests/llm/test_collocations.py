@@ -71,3 +71,12 @@ def test_ties_and_long_text(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert mine_collocations(empty).count() == 0
+
+
+def test_without_broadcasts_the_same(spark, monkeypatch):
+    import remap.llm.collocations as colloc
+
+    monkeypatch.setattr(colloc, "BROADCAST_BYTES", 0)  # words measure larger: text path, no pruning
+    rows = corpus(9)
+    got = mine_collocations(spark.createDataFrame(rows, "lang string, text string"), top=5, least=3, frontier=1)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 5, 3))
