@@ -28,6 +28,7 @@ from remap.session import materialize
 PREFIXES = (4, 5, 6)  # bytes
 COLUMNS = 1 + len(PREFIXES)
 SEGMENT = 512  # training sequences are runs of at most so many tokens
+STEP_TOKENS = 1 << 18  # tokens whose lanes the driver holds at once
 _SLICE = 4 << 20
 
 
@@ -196,6 +197,15 @@ def _count(df: DataFrame) -> DataFrame:
     return counts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
 
 
+def _labelled(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (sample_id, text) with the label of their id, an id labelled both ways as toxic.
+
+    Both sides grow with the corpus, so neither is ever broadcast.
+    """
+    labels = known.groupBy(F.col("id").alias("sample_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    return rows.join(labels.hint("merge"), "sample_id")
+
+
 def _telling(total: int, positive: int) -> Column:
     """Whether a feature of ``_count`` goes with toxicity: past the likelihood-ratio test, and by a margin.
 
@@ -277,8 +287,7 @@ def train(
     ids = spark.createDataFrame(list(chosen.items()), f"sample_id {id_type}, toxic int")
     rows = documents.select(F.col(f"`{id_col}`").alias("sample_id"), F.col(f"`{text_col}`").alias("text"))
     untrained = ChainField(np.zeros(0, np.uint64), np.zeros(0), -20.0, np.zeros(3), np.array([-40.0, 0, 0]))
-    labelled = known.groupBy(F.col("id").alias("sample_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    counted = rows.join(labelled, "sample_id")
+    counted = _labelled(rows, known)
     total, positive = counted.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < total:
         return untrained
@@ -286,64 +295,88 @@ def train(
     telling_keys = _longs(counts.where(_telling(total, positive)))
     common = _longs(counts.where("n >= 5").orderBy(F.desc("n"), "feature").limit(1000))
     keys = np.union1d(telling_keys, common)
-    model = ChainField(keys, np.zeros(len(keys) + 1), -3.0, np.array([-1.0, 0.0, 0.0]), np.zeros(3))
+    model = ChainField(keys, np.zeros(len(keys)), -3.0, np.array([-1.0, 0.0, 0.0]), np.zeros(3))
     token, feature, lengths, toxic = _collect(rows.join(F.broadcast(ids), "sample_id"), model)
     if len(set(toxic.tolist())) < 2:
         return untrained
 
     telling = np.isin(keys, telling_keys)
-    tells = telling[feature]
-    y = np.zeros(int(lengths.sum()))
-    y[token[tells]] = 1
-    y *= np.repeat(toxic, lengths)
-    shared = np.full(int(tells.sum()), len(keys), dtype=np.int32)
-    _fit_chain(model, np.concatenate((token, token[tells])), np.concatenate((feature, shared)), y, lengths, rounds)
-    model.theta = model.theta[:-1] + model.theta[-1] * telling
-    _fit_blend(model, model.weigh(token, feature, len(y)), lengths, toxic, known)
+    y = np.zeros(int(lengths.sum()), bool)
+    y[token[telling[feature]]] = True
+    y &= np.repeat(toxic == 1, lengths)
+    _fit_chain(model, token, feature, y, lengths, rounds, telling)
+    _fit_blend(model, token, feature, lengths, toxic, known)
     kept = np.abs(model.theta) > 0.05
     model.keys, model.theta = model.keys[kept], model.theta[kept]
     return model
 
 
-def _fit_chain(model: ChainField, token: np.ndarray, feature: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int) -> None:
-    """Gradient ascent (Adam) on the likelihood of the token labels ``y``."""
-    parts: list[int] = []
-    for n in lengths.tolist():
-        parts += [SEGMENT] * (n // SEGMENT) + [n % SEGMENT] * (n % SEGMENT > 0)
-    lanes = Lanes.of(np.array(parts), width=max(256, int(lengths.sum()) // SEGMENT))
-    inner = np.ones(len(y), bool)  # tokens with a next token in their sequence
-    inner[np.cumsum(parts) - 1] = False
-    inner = np.flatnonzero(inner)
-    pairs = (1 - y[inner]) * y[inner + 1], y[inner] * (1 - y[inner + 1]), y[inner] * y[inner + 1]
-    seen = np.array([x.sum() for x in pairs])
-    del pairs
+def _steps(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of sequences of at most STEP_TOKENS tokens, or of one: first and end sequence, first and end token."""
+    bounds = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
+    for i, j in slices(bounds, STEP_TOKENS):
+        yield i, j, int(bounds[i]), int(bounds[j])
+
+
+def _fit_chain(
+    model: ChainField, token: np.ndarray, feature: np.ndarray, y: np.ndarray, lengths: np.ndarray, rounds: int,
+    telling: np.ndarray | None = None,
+) -> None:
+    """Gradient ascent (Adam) on the likelihood of the token labels ``y``.
+
+    ``token`` ascends.  The features of the mask ``telling`` share a weight beside their
+    own, added to theirs at the end.  The gradient is a sum over sequences, taken a step
+    of them at a time: the driver's memory is the known features and one step's lanes.
+    """
+    parts = np.concatenate([np.zeros(0, np.int64)] + [
+        np.append(np.full(n // SEGMENT, SEGMENT), [n % SEGMENT] * (n % SEGMENT > 0)).astype(np.int64) for n in lengths.tolist()
+    ])
+    steps, seen = [], np.zeros(3)
+    for i, j, a, z in _steps(parts):
+        lanes = Lanes.of(parts[i:j], width=max(256, (z - a) // SEGMENT))
+        inner = np.ones(z - a, bool)  # tokens with a next token in their sequence
+        inner[np.cumsum(parts[i:j]) - 1] = False
+        steps.append((a, z, *np.searchsorted(token, (a, z)).tolist(), lanes, inner))
+        here, ahead = np.flatnonzero(inner), y[a:z].astype(float)
+        here, ahead = ahead[here], ahead[here + 1]
+        seen += [((1 - here) * ahead).sum(), (here * (1 - ahead)).sum(), (here * ahead).sum()]
+    if telling is None:
+        telling = np.zeros(len(model.theta), bool)
     size = len(model.theta)
-    w = np.concatenate((model.theta, [model.bias], model.moves))
+    w = np.concatenate((model.theta, [0.0, model.bias], model.moves))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        model.theta, model.bias, model.moves = w[:size], w[size], w[size + 1 :]
-        f, b, e = model.forward_backward(model.weigh(token, feature, len(y)), lanes)
-        f, b, e = (x.flat[lanes.at] for x in (f, b, e))
-        p = f * b / (1 + f * b)
+        model.theta, model.bias, model.moves = w[:size] + w[size] * telling, w[size + 1], w[size + 2 :]
         t01, t10, t11 = np.exp(model.moves)
-        here, ahead = f[inner], (e * b)[inner + 1]
-        weight = t01 * ahead, t10 * here, t11 * here * ahead
-        total = 1 + weight[0] + weight[1] + weight[2]
-        off = y - p
-        g = np.concatenate((
-            np.bincount(feature, off[token], minlength=size),
-            [off.sum()],
-            seen - [float((x / total).sum()) for x in weight],
-        )) - 0.02 * w
+        slope, bias, moved = np.zeros(size), 0.0, np.zeros(3)
+        for a, z, lo, hi, lanes, inner in steps:
+            at, known = token[lo:hi] - a, feature[lo:hi]
+            f, b, e = model.forward_backward(model.weigh(at, known, z - a), lanes)
+            f, b, e = (x.flat[lanes.at] for x in (f, b, e))
+            off = y[a:z] - f * b / (1 + f * b)
+            slope += np.bincount(known, off[at], minlength=size)
+            bias += off.sum()
+            inside = np.flatnonzero(inner)
+            here, ahead = f[inside], (e * b)[inside + 1]
+            weight = t01 * ahead, t10 * here, t11 * here * ahead
+            total = 1 + weight[0] + weight[1] + weight[2]
+            moved += [float((x / total).sum()) for x in weight]
+        g = np.concatenate((slope, [slope[telling].sum(), bias], seen - moved)) - 0.02 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w + 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model.theta, model.bias, model.moves = w[:size], float(w[size]), w[size + 1 :]
+    model.theta, model.bias, model.moves = w[:size] + w[size] * telling, float(w[size + 1]), w[size + 2 :]
 
 
-def _fit_blend(model: ChainField, s: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, known: DataFrame) -> None:
+def _fit_blend(
+    model: ChainField, token: np.ndarray, feature: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, known: DataFrame
+) -> None:
     """Logistic of the document summary by Newton steps, weighted to the label shares of all rows."""
     shares = {r[0]: r[1] for r in known.groupBy(F.col("toxic").cast("int")).count().collect()}
-    x = _summary(model.emission_marginals(s, lengths), np.concatenate(([0], np.cumsum(lengths))))
+    x = np.zeros((len(lengths), 3))
+    for i, j, a, z in _steps(lengths):
+        lo, hi = np.searchsorted(token, (a, z))
+        p = model.emission_marginals(model.weigh(token[lo:hi] - a, feature[lo:hi], z - a), lengths[i:j])
+        x[i:j] = _summary(p, np.concatenate(([0], np.cumsum(lengths[i:j]))))
     weight = np.where(toxic == 1, shares[1] / max(1, (toxic == 1).sum()), shares[0] / max(1, (toxic == 0).sum()))
     weight = weight / weight.mean()
     w, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2])

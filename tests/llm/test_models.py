@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -50,6 +51,52 @@ def test_gradient_fits_labels():
     assert p[::10].min() > 0.9 and p[features[:, 0] != 7].max() < 0.1
 
 
+def test_training_holds_one_step_of_the_sample():
+    """The driver's memory beyond the known features does not grow with the sample."""
+    rng = np.random.default_rng(2)
+    telling = np.arange(50) < 3
+    peaks, fitted = [], []
+    for docs in (1000, 4000):
+        lengths = np.full(docs, 400)
+        token = np.arange(0, docs * 400, 4, dtype=np.int32)
+        feature = rng.integers(0, 50, len(token)).astype(np.int32)
+        y = np.zeros(docs * 400, bool)
+        y[token[telling[feature]]] = True
+        model = toxicity.ChainField(np.arange(50, dtype=np.uint64), np.zeros(50), -3.0, np.array([-1.0, 0, 0]), np.zeros(3))
+        tracemalloc.start()
+        toxicity._fit_chain(model, token, feature, y, lengths, 3, telling)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        fitted.append(model.theta)
+    assert peaks[1] < peaks[0] + 20 * 1_200_000  # bytes for each more token: its lane cell, not its floats
+    assert all(t[telling].min() > t[~telling].max() for t in fitted)
+
+
+def test_steps_leave_training_as_it_is(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths = np.array([700, 0, 3, 512, 1300, 1])
+    token = np.sort(rng.integers(0, lengths.sum(), 3000)).astype(np.int32)
+    feature = rng.integers(0, 40, 3000).astype(np.int32)
+    y = rng.random(int(lengths.sum())) < 0.2
+    fitted = []
+    for tokens in (1 << 18, 600):
+        monkeypatch.setattr(toxicity, "STEP_TOKENS", tokens)
+        model = toxicity.ChainField(np.arange(40, dtype=np.uint64), np.zeros(40), -3.0, np.array([-1.0, 0, 0]), np.zeros(3))
+        toxicity._fit_chain(model, token, feature, y, lengths, 20, np.arange(40) % 9 == 0)
+        fitted.append(np.concatenate((model.theta, [model.bias], model.moves)))
+    assert np.allclose(*fitted, rtol=0, atol=1e-9)
+
+
+def test_labels_are_never_broadcast(spark):
+    """Else the texts are shuffled from some size of the labels on, and the disk grows with a jump."""
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "sample_id long, text string")
+    known = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (77, 1)], "id long, toxic int")
+    joined = toxicity._labelled(rows, known)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r["sample_id"], r["toxic"]) for r in joined.collect()) == [(1, 0), (2, 1)]
+
+
 def test_spans_are_character_offsets():
     text = "Ünd so ïdiot ïdiot. Fin"
     low = toxicity.LOWER[np.frombuffer(text.encode(), np.uint8)]
