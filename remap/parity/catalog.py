@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from remap.operators.reports import search
 from remap.parity.registry import query
 from remap.plans.mapping import map_columns, read_mapping
-from remap.session import new_path
+from remap.session import materialize, new_path
 from remap.sources.activity import read_activity, write_activity
 from remap.sources.catalog import column_catalog, read_snapshot, write_snapshot
 from remap.sources.notes import explode_json, pack_json, read_notes, write_notes
@@ -147,13 +147,15 @@ def _(t):
     """The searches of ``search_all_logs`` through trigram postings of the three logs."""
     from remap.operators.search_index import index_texts, search_indexed
 
+    # The records are parsed once; the index and the search read them several times.
+    scripts = materialize(_scripts(t).select("id", "filename"), "scripts")
     ledger = t.run_history.where("delete_rows > 0").select(
         "id", F.concat(F.lit("DELETE FROM "), "target_table").alias("sql_delete")
     )
     logs = {
         "history": (t.run_history, "job_name", "B_7"),
         "ledger": (ledger, "sql_delete", "from T_1"),
-        "script": (_scripts(t), "filename", "b_7.SQL"),
+        "script": (scripts, "filename", "b_7.SQL"),
     }
     parts = []
     for log, (rows, column, keyword) in logs.items():
