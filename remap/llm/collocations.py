@@ -5,13 +5,17 @@ words ``[^\\x20\\x09]+``.  Per language (null: ``und``), ``n`` counts all words
 ``f(p)`` all contiguous occurrences of phrase ``p`` inside pieces, overlaps included.
 
 Growth by prefix counts.  Only words with ``f >= least`` can lie in a phrase with
-``f >= least``, and only pairs with ``f >= least`` in a longer one, so pairs are
-generated (per piece, in ``mapInArrow`` on word ids, vectorised) only from frequent
-words and longer phrases only from frequent pairs, then counted as id tuples with a
-map-side partial aggregate; counts below ``least`` go, and the rest are spelled out.
-Texts are cut into pieces and words once and the words written (zstd), so the three
-counting passes do not split the texts again.  What remains, with the frequent words, is the table of *prefix counts*
-from which every cut is scored: all parts of a candidate are at least as frequent.
+``f >= least``, and a phrase of ``k`` words has it only if both its parts of ``k - 1``
+words have.  So the words are counted first and the frequent ones numbered, over all
+languages in one sequence; the texts are then written once as word numbers (runs of
+two frequent words at least), and one pass over those per phrase length grows the
+frequent phrases of one word less.  A phrase is one 64-bit integer: the number of its
+first ``k - 1`` words times the count of frequent words, plus its last word.  Both
+passes over the texts cut them on whole byte buffers (``mapInArrow``); keys are summed
+by sorting in the map tasks, dealt by hash in compressed blocks, and summed again.
+Counts below ``least`` go, and the rest are spelled out.  What remains, with the
+frequent words, is the table of *prefix counts* from which every cut is scored: all
+parts of a candidate are at least as frequent.
 
 Bound.  A candidate's score is the least over its cuts of
 ``floor(1000 * a * n / (l * r))``.  The cut after the first word has ``r >= a``,
@@ -34,6 +38,8 @@ without candidates gives no rows; repeated rows count twice; only ``lang`` and
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -41,17 +47,25 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from remap.llm.texts import buffers, slices
 from remap.session import materialize
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 FRONTIER = 4
-BROADCAST_BYTES = 64 << 20  # frequent words broadcast below this measured size
+BROADCAST_BYTES = 64 << 20  # frequent words, and keys of frequent phrases, broadcast below this measured size
+TEXT_BYTES = 8 << 20  # of texts cut at a time
+HELD_KEYS = 2 << 20  # phrase occurrences a task holds before it sums them
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_BREAK = "[.,;:!?\\x0A-\\x0D]"
 WORD_BREAK = "[\\x20\\x09]+"
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_BLANKS, _BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"  # the same as bytes
+_BETWEEN = _BLANKS + _BREAKS
+_KINDS = bytes(2 if b in _BREAKS else 1 if b in _BLANKS else 0 for b in range(256))
+_LOW = bytes.maketrans(_UPPER.encode(), _LOWER.encode())
 _EXACT = "decimal(38,0)"
 
 
@@ -73,102 +87,281 @@ def words_of(cut: DataFrame) -> DataFrame:
     return cut.select("lang", words.alias("words")).where(F.size("words") > 0)
 
 
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    """``materialize`` with zstd: the words are most of the text once more."""
-    spark = df.sparkSession
-    before = spark.conf.get("spark.sql.parquet.compression.codec")
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        return materialize(df, label)
-    finally:
-        spark.conf.set("spark.sql.parquet.compression.codec", before)
-
-
-def _grams(vocab, pairs, ks: tuple[int, ...]):
-    """mapInPandas body: phrases of ``ks`` words whose words are all in ``vocab[lang]`` and,
-    from three words on, whose neighbouring pairs are all in ``pairs[lang]`` (None: no test)."""
+def _all_grams(ks: tuple[int, ...]):
+    """mapInPandas body: every phrase of ``ks`` words."""
 
     def run(batches):
         for pdf in batches:
             langs, phrases = [], []
             for lang, words in zip(pdf["lang"], pdf["words"]):
                 words = list(words)
-                n, good = len(words), vocab.value.get(lang, frozenset()) if vocab is not None else None
-                reach = [0] * (n + 1)  # frequent words in a row from i
-                for i in range(n - 1, -1, -1):
-                    reach[i] = reach[i + 1] + 1 if good is None or words[i] in good else 0
-                linked = None
-                if pairs is not None:
-                    known = pairs.value.get(lang, frozenset())
-                    linked = [0] * (n + 1)  # frequent pairs in a row from i
-                    for i in range(n - 2, -1, -1):
-                        linked[i] = linked[i + 1] + 1 if f"{words[i]} {words[i + 1]}" in known else 0
-                for i in range(n):
-                    for k in ks:
-                        if reach[i] >= k and (linked is None or linked[i] >= k - 1):
-                            langs.append(lang)
-                            phrases.append(" ".join(words[i : i + k]))
+                for k in ks:
+                    for i in range(len(words) - k + 1):
+                        langs.append(lang)
+                        phrases.append(" ".join(words[i : i + k]))
             yield pd.DataFrame({"lang": langs, "phrase": phrases}, dtype=object)
 
     return run
 
 
-def _gram_ids(vocab, pairs, ks: tuple[int, ...], longest: int):
-    """mapInArrow body: word ids (-1 padded to ``longest``) of phrases of ``ks`` words whose
-    words are all in ``vocab[lang]`` (a sorted list; the id is the place in it) and, with
-    ``pairs``, whose neighbouring pairs are all in ``pairs[lang]`` (sorted id1 * V + id2)."""
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of ``texts`` in order, and before which of them (or the end) a piece is cut."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")
+    raw = joined[0].as_buffer().to_pybytes()
+    kinds = np.frombuffer(raw.translate(_KINDS), np.uint8)
+    inside = np.zeros(len(raw) + 2, dtype=bool)
+    np.equal(kinds, 0, out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    letters = raw.translate(_LOW, _BETWEEN)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    cut = np.zeros(len(starts) + 1, dtype=bool)
+    cut[np.searchsorted(starts, np.flatnonzero(kinds == 2))] = True
+    return words, cut
+
+
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
+    """(lang, texts) in slices of bounded bytes; null texts are left out."""
+    langs, texts = batch.column(0), batch.column(1)
+    for lang in pc.unique(langs).to_pylist():
+        part = pc.drop_null(pc.filter(texts, pc.equal(langs, lang)))
+        _, offsets = buffers(part)
+        for first, last in slices(offsets, TEXT_BYTES):
+            yield lang, part.slice(first, last - first)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow body: (lang, phrase, f) per word of a slice; the empty word counts all words."""
+    for batch in batches:
+        for lang, texts in _by_lang(batch):
+            words, _ = _tokens(texts)
+            found = pc.value_counts(words)
+            phrases = pa.concat_arrays([found.field(0), pa.array([""], pa.string())])
+            f = pa.concat_arrays([found.field(1), pa.array([len(words)], pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(f)), phrases, f],
+                                             names=["lang", "phrase", "f"])
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Integers by their bytes' places, compressed: the high bytes are mostly equal."""
+    return pa.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.Scalar, count: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(data.as_buffer(), decompressed_size=count * width, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, count).T).view(kind).reshape(count)
+
+
+def _runs(ids: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` words from each of ``at``, -1 after each run; the last of ``ids`` is -1."""
+    kept = np.zeros(len(ids), dtype=bool)
+    for j in range(k):
+        kept[at + j] = True
+    closed = kept.copy()
+    closed[1:] |= kept[:-1]
+    return np.where(kept, ids, np.int32(-1))[closed]
+
+
+def _numbered(vocab):
+    """mapInArrow body: (n, ids), the numbers of the frequent words that stand beside another in
+    their piece, -1 after each run of them."""
 
     def run(batches):
-        indexes: dict[str, pd.Index] = {}
+        langs, lang_of, words = vocab.value
+        sets = {}
         for batch in batches:
-            langs, words = batch.column(0), batch.column(1)
-            cols: dict[str, list] = {"lang": [], **{f"w{j}": [] for j in range(1, longest + 1)}}
-            for lang in pc.unique(langs).to_pylist():
-                part = pc.filter(words, pc.equal(langs, lang))
-                offsets = np.asarray(part.offsets, dtype=np.int64)
-                flat = part.flatten().to_numpy(zero_copy_only=False)
-                offsets = offsets - offsets[0]
-                if lang not in indexes:
-                    indexes[lang] = pd.Index(vocab.value.get(lang, []))
-                index = indexes[lang]
-                ids = index.get_indexer(flat).astype(np.int64)
-                n = len(ids)
-                if n == 0:
+            for lang, texts in _by_lang(batch):
+                if lang not in langs:
                     continue
-                pos = np.arange(n)
-                ends = np.repeat(offsets[1:], np.diff(offsets))  # end of each word's piece
-                reach = np.minimum(np.minimum.accumulate(np.where(ids < 0, pos, n)[::-1])[::-1], ends) - pos
-                linked = None
-                if pairs is not None:
-                    nxt = np.roll(ids, -1)
-                    valid = (pos + 1 < ends) & (ids >= 0) & (nxt >= 0)
-                    ok = np.zeros(n, dtype=bool)
-                    ok[valid] = np.isin(ids[valid] * len(index) + nxt[valid], pairs.value.get(lang, np.zeros(0, np.int64)))
-                    linked = np.minimum.accumulate(np.where(ok, n, pos)[::-1])[::-1] - pos
+                if lang not in sets:
+                    own = np.flatnonzero(lang_of == langs.index(lang)).astype(np.int32)
+                    sets[lang] = np.append(own, np.int32(-1)), words.take(pa.array(own))
+                own, known = sets[lang]
+                found, cut = _tokens(texts)
+                place = pc.fill_null(pc.index_in(found, value_set=known), len(known)).to_numpy()
+                ids = np.full(len(found) + int(cut.sum()) + 1, -1, np.int32)
+                ids[np.arange(len(found)) + np.cumsum(cut[:-1])] = own[place]
+                ids = _runs(ids, np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0)), 2)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([len(ids)], pa.int32()), pa.array([_packed(ids)], pa.binary())], names=["n", "ids"])
+
+    return run
+
+
+def _grown(ids: np.ndarray, at: np.ndarray, known: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and keys of the phrases of ``k`` words both of whose parts of ``k - 1`` words are frequent,
+    from the starts and numbers of these."""
+    both = np.flatnonzero(at[1:] == at[:-1] + 1)
+    at = at[both]
+    return at, known[both] * size + ids[at + k - 1]
+
+
+def _spot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.view(np.uint64) * _SPREAD) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _levels(tables: list) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Per table its sorted keys and a sieve of their hashes, which spares most other keys the search."""
+    out = []
+    for table in tables:
+        bits = max(10, min(26, (16 * len(table.value)).bit_length()))
+        sieve = np.zeros(1 << bits, dtype=bool)
+        sieve[_spot(table.value, bits)] = True
+        out.append((table.value, sieve, bits))
+    return out
+
+
+def _known(ids: np.ndarray, levels: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and numbers of the longest frequent phrases that ``levels`` holds the sorted keys of."""
+    at = np.flatnonzero(ids >= 0)
+    known = ids[at].astype(np.int64)
+    for k, (keys, sieve, bits) in enumerate(levels, 2):
+        at, wanted = _grown(ids, at, known, k, size)
+        likely = np.flatnonzero(sieve[_spot(wanted, bits)])
+        at, wanted = at[likely], wanted[likely]
+        place = np.searchsorted(keys, wanted)
+        place[place == len(keys)] = 0
+        hit = np.flatnonzero(keys[place] == wanted)
+        at, known = at[hit], place[hit]
+    return at, known
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their counts (of ones without)."""
+    flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    if counts is None:
+        flat.sort()
+    else:
+        order = np.argsort(flat, kind="stable")
+        flat, weights = flat[order], np.concatenate(counts)[order] if counts else flat
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, np.int64)
+    if counts is None:
+        return flat[first], np.diff(np.append(first, len(flat)))
+    return flat[first], np.add.reduceat(weights, first) if len(first) else first
+
+
+def _blocks(vocab, tables: list, k: int, buckets: int, keep: bool):
+    """mapInArrow body: (bucket, n, keys, counts) of the phrases of ``k`` words, summed per HELD_KEYS;
+    with ``keep`` also the words in them, as rows of bucket -1 with the numbers for keys."""
+    kinds = {"bucket": pa.int32(), "n": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    narrow = np.uint16 if buckets <= 1 << 16 else np.int64
+
+    def rows(*found):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds.values())],
+                                          names=list(kinds))
+
+    def packed(held):
+        keys, counts = _summed(held)
+        bucket = (_spot(keys, 40) % buckets).astype(narrow)
+        order = np.argsort(bucket, kind="stable")  # keys stay ascending within a bucket
+        keys, counts, bucket = keys[order], counts[order].astype(np.int32), bucket[order]
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        return rows(*[(int(bucket[a]), int(b - a), _packed(np.diff(keys[a:b], prepend=0)), _packed(counts[a:b]))
+                      for a, b in zip(first, [*first[1:], len(keys)])])
+
+    def run(batches):
+        levels, size = _levels(tables), len(vocab.value[2])
+        held, number = [], 0
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = _unpacked(data, n, np.int32)
+                at, keys = _grown(ids, *_known(ids, levels, size), k, size)
+                held.append(keys)
+                number += len(keys)
+                if keep and len(at):
+                    ids = _runs(ids, at, k)
+                    yield rows((-1, len(ids), _packed(ids), None))
+                if number >= HELD_KEYS:
+                    yield packed(held)
+                    held, number = [], 0
+        if number:
+            yield packed(held)
+
+    return run
+
+
+def _frequent(least: int):
+    """mapInArrow body: (key, f) with f >= least from all blocks of a partition's buckets."""
+
+    def run(batches):
+        keys, counts, number = [], [], 0
+        for batch in batches:
+            for n, k, c in zip(batch.column("n").to_pylist(), batch.column("keys"), batch.column("counts")):
+                keys.append(np.cumsum(_unpacked(k, n, np.int64)))
+                counts.append(_unpacked(c, n, np.int32).astype(np.int64))
+                number += n
+                if number >= 2 * HELD_KEYS:
+                    keys, counts = ([x] for x in _summed(keys, counts))
+                    number = 0
+        found, f = _summed(keys, counts)
+        often = f >= least
+        yield pa.RecordBatch.from_arrays([pa.array(found[often], pa.int64()), pa.array(f[often], pa.int64())],
+                                         names=["key", "f"])
+
+    return run
+
+
+def _tuples(vocab, tables: list, ks: tuple[int, ...], longest: int):
+    """mapInArrow body: word numbers (-1 padded to ``longest``) of the phrases of ``ks`` words whose
+    parts of as many words as ``tables`` goes up to are all frequent."""
+
+    def run(batches):
+        levels, size = _levels(tables), len(vocab.value[2])
+        for batch in batches:
+            for n, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = _unpacked(data, n, np.int32)
+                at, _ = _known(ids, levels, size)
                 for k in ks:
-                    hit = reach >= k if linked is None else (reach >= k) & (linked >= k - 1)
-                    at = np.nonzero(hit)[0]
-                    cols["lang"].append(np.full(len(at), lang, dtype=object))
-                    for j in range(1, longest + 1):
-                        cols[f"w{j}"].append(ids[at + j - 1].astype(np.int32) if j <= k else np.full(len(at), -1, np.int32))
-            arrays = [pa.array(np.concatenate(cols["lang"]) if cols["lang"] else np.zeros(0, object), pa.string())]
-            arrays += [pa.array(np.concatenate(cols[f"w{j}"]) if cols[f"w{j}"] else np.zeros(0, np.int32), pa.int32())
-                       for j in range(1, longest + 1)]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(cols))
+                    further = k - len(levels) - 1  # as many more parts must follow word by word
+                    starts = at[: max(0, len(at) - further)]
+                    starts = starts[at[further:] == starts + further]
+                    cols = [ids[starts + j] if j < k else np.full(len(starts), -1, np.int32) for j in range(longest)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in cols],
+                                                     names=[f"w{j + 1}" for j in range(longest)])
+
+    return run
+
+
+def _texts_of(vocab, words: list[np.ndarray], f: pa.Array) -> pa.RecordBatch:
+    langs, lang_of, texts = vocab.value
+    lang = pa.array(langs, pa.string()).take(pa.array(lang_of[words[0]]))
+    phrase = pc.binary_join_element_wise(*[texts.take(pa.array(w)) for w in words], " ")
+    return pa.RecordBatch.from_arrays([lang, phrase, pa.repeat(pa.scalar(len(words), pa.int32()), len(f)), f],
+                                      names=["lang", "phrase", "k", "f"])
+
+
+def _spelled(vocab, tables: list):
+    """mapInArrow body: (lang, phrase, k, f) of counted (k, key, f)."""
+
+    def run(batches):
+        size = len(vocab.value[2])
+        for batch in batches:
+            lengths, every = batch.column("k").to_numpy(), batch.column("key").to_numpy()
+            for k in np.unique(lengths):
+                at = np.flatnonzero(lengths == k)
+                keys, words = every[at], []
+                for j in range(k, 1, -1):
+                    words.insert(0, keys % size)
+                    keys = keys // size if j == 2 else tables[j - 3].value[keys // size]
+                yield _texts_of(vocab, [keys, *words], batch.column("f").take(pa.array(at)))
 
     return run
 
 
-def _spelled(vocab, longest: int):
-    """mapInPandas body: the phrase of counted word ids."""
+def _spelled_tuples(vocab):
+    """mapInArrow body: (lang, phrase, k, f) of counted (w1, .., f)."""
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                words = vocab.value[row.lang]
-                out.append(" ".join(words[w] for w in row[1 : longest + 1] if w >= 0))
-            yield pd.DataFrame({"lang": pdf["lang"], "phrase": out, "f": pdf["f"]})
+        for batch in batches:
+            words = np.stack([c.to_numpy() for c in batch.columns[:-1]])
+            lengths = (words >= 0).sum(axis=0)
+            for k in np.unique(lengths):
+                at = np.flatnonzero(lengths == k)
+                yield _texts_of(vocab, list(words[:k, at]), batch.column("f").take(pa.array(at)))
 
     return run
 
@@ -177,52 +370,70 @@ def _measured(df: DataFrame, width: Column) -> int:
     return df.select(F.sum(width)).first()[0] or 0
 
 
-def count_phrases(parts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, lang_col: str = "lang",
+                  text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Counts (lang, phrase, k, f) of every phrase of 1 to ``longest`` words with f >= least, and n per lang.
 
-    Apriori growth on word ids: pairs are counted only where both words are frequent,
-    longer phrases only where every neighbouring pair is frequent too, and only the
-    frequent phrases are spelled out again.  The frequent words and pairs go to the
-    tasks as broadcasts where they measure below BROADCAST_BYTES; beyond that, phrases
-    are generated as text without the test, which counts more but finds the same.
+    Apriori growth on word numbers, see above; only the frequent phrases are spelled out
+    again.  The frequent words, and the keys of the frequent phrases of each length, go to
+    the tasks as broadcasts where they measure below BROADCAST_BYTES.  From the length on
+    at which the keys are beyond that, phrases are counted as word numbers and tested by
+    the shorter ones only; with the words themselves beyond it, phrases are generated as
+    text without the test.  Both count more but find the same.
     """
-    spark = parts.sparkSession
-    every = parts.select("lang", F.explode("words").alias("phrase")).groupBy("lang", "phrase").agg(
-        F.count(F.lit(1)).alias("f"))
-    every = materialize(every, "colloc-vocabulary")
-    totals = materialize(every.groupBy("lang").agg(F.sum("f").cast("long").alias("n")), "colloc-totals")
-    singles = every.where(F.col("f") >= least).withColumn("k", F.lit(1))
-    if _measured(singles, F.length("phrase") + F.length("lang") + 48) > BROADCAST_BYTES:
-        grams = parts.select("lang", "words").mapInPandas(_grams(None, None, tuple(range(2, longest + 1))),
-                                                         "lang string, phrase string")
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
+    every = texts.mapInArrow(_word_counts, "lang string, phrase string, f long")
+    every = every.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    every = materialize(every.where((F.col("f") >= least) | (F.col("phrase") == "")), "colloc-words")
+    totals = every.where((F.col("phrase") == "") & (F.col("f") > 0)).select("lang", F.col("f").alias("n"))
+    singles = every.where((F.col("phrase") != "") & (F.col("f") >= least)).select(
+        "lang", "phrase", F.lit(1).alias("k"), "f")
+    if _measured(singles, F.octet_length("phrase") + 8) > BROADCAST_BYTES:
+        grams = pieces(docs, lang_col, text_col).mapInPandas(_all_grams(tuple(range(2, longest + 1))),
+                                                             "lang string, phrase string")
         counted = grams.groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-        counted = counted.withColumn("k", F.size(F.split("phrase", " ")))
+        counted = counted.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("k"), "f")
         return materialize(singles.unionByName(counted), "colloc-counts"), totals
-    vocab: dict[str, list[str]] = {}
-    for row in singles.select("lang", "phrase").toLocalIterator():
-        vocab.setdefault(row[0], []).append(row[1])
-    shared = spark.sparkContext.broadcast({k: sorted(v) for k, v in vocab.items()})
-    schema = "lang string, " + ", ".join(f"w{j} int" for j in range(1, longest + 1))
-    ws = [f"w{j}" for j in range(1, longest + 1)]
-    found, pairs = [singles], None
-    for ks in ((2,), tuple(range(3, longest + 1))):
-        if not ks:
-            continue
-        grams = parts.select("lang", "words").mapInArrow(_gram_ids(shared, pairs, ks, longest), schema)
-        counted = grams.groupBy("lang", *ws).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
-        counted = materialize(counted, "colloc-ids")
-        if ks == (2,) and _measured(counted, F.lit(24)) <= BROADCAST_BYTES:
-            size = {k: len(v) for k, v in shared.value.items()}
-            keys: dict[str, list[int]] = {}
-            for row in counted.select("lang", "w1", "w2").toLocalIterator():
-                keys.setdefault(row[0], []).append(row[1] * size[row[0]] + row[2])
-            pairs = spark.sparkContext.broadcast({k: np.sort(np.array(v, np.int64)) for k, v in keys.items()})
-        spelled = counted.select("lang", *ws, "f").mapInPandas(_spelled(shared, longest), "lang string, phrase string, f long")
-        found.append(spelled.withColumn("k", F.size(F.split("phrase", " "))))
-    table = found[0]
-    for more in found[1:]:
-        table = table.unionByName(more)
-    return materialize(table.select("lang", "phrase", "k", "f"), "colloc-counts"), totals
+    held = singles.select("lang", "phrase", "f").toArrow().combine_chunks()
+    if not held.num_rows:
+        return singles, totals
+    held = held.take(pa.array(np.argsort(-held["f"].to_numpy(), kind="stable")))  # small numbers for the most frequent
+    langs = pc.unique(held["lang"]).to_pylist()
+    lang_of = pc.index_in(held["lang"], value_set=pa.array(langs, pa.string())).to_numpy()
+    vocab = spark.sparkContext.broadcast((langs, lang_of, held["phrase"].combine_chunks()))
+    ids = materialize(texts.mapInArrow(_numbered(vocab), "n int, ids binary"), "colloc-ids")
+    words = totals.agg(F.sum("n")).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words // (2 * HELD_KEYS)))
+
+    tables, held_bytes, found, table = [], 0, [], singles
+    schema = "lang string, phrase string, k int, f long"
+    for k in range(2, longest + 1):
+        keep = 2 < k < longest  # the words that longer phrases can have; before, ids has them alone
+        blocks = ids.mapInArrow(_blocks(vocab, list(tables), k, buckets, keep), "bucket int, n int, keys binary, counts binary")
+        if keep:
+            blocks = materialize(blocks, "colloc-blocks")
+            ids = blocks.where(F.col("bucket") < 0).select("n", F.col("keys").alias("ids"))
+            blocks = blocks.where(F.col("bucket") >= 0)
+        counted = blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(_frequent(least), "key long, f long")
+        counted = materialize(counted, "colloc-keys")
+        found.append(counted.select(F.lit(k).alias("k"), "key", "f"))
+        number = counted.count()
+        held_bytes += 8 * number
+        if k == longest or not number:
+            break
+        if held_bytes > BROADCAST_BYTES:
+            ws = [f"w{j}" for j in range(1, longest + 1)]
+            rest = ids.mapInArrow(_tuples(vocab, list(tables), tuple(range(k + 1, longest + 1)), longest),
+                                  ", ".join(f"{w} int" for w in ws))
+            rest = rest.groupBy(*ws).agg(F.count(F.lit(1)).alias("f")).where(F.col("f") >= least)
+            table = table.unionByName(rest.mapInArrow(_spelled_tuples(vocab), schema))
+            break
+        keys = counted.select("key").toArrow()["key"].to_numpy()
+        tables.append(spark.sparkContext.broadcast(np.sort(keys)))
+    for keys in found:
+        table = table.unionByName(keys.mapInArrow(_spelled(vocab, tables), schema))
+    return materialize(table, "colloc-counts"), totals
 
 
 def _part(words: Column, first: int | Column, length: int | Column) -> Column:
@@ -276,9 +487,7 @@ def mine_collocations(
     text_col: str = "text",
 ) -> DataFrame:
     """Per language the ``top`` surviving phrases: lang, rank, phrase, a, l, r, n, score."""
-    # Split once: the three counting passes read the words, not the texts again.
-    parts = _stored(pieces(docs, lang_col, text_col), "colloc-pieces")
-    counts, totals = count_phrases(parts, least, longest)
+    counts, totals = count_phrases(docs, least, longest, lang_col, text_col)
     singles = counts.where(F.col("k") == 1).select("lang", F.col("phrase").alias("__w"), F.col("f").alias("__fw"))
     cands = counts.where(F.col("k") >= 2).withColumn("__ws", F.split("phrase", " "))
     ends = cands.withColumns({"__first": F.element_at("__ws", 1), "__last": F.element_at("__ws", -1)})

@@ -80,3 +80,60 @@ def test_without_broadcasts_the_same(spark, monkeypatch):
     rows = corpus(9)
     got = mine_collocations(spark.createDataFrame(rows, "lang string, text string"), top=5, least=3, frontier=1)
     assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 5, 3))
+
+
+@pytest.mark.parametrize("limit", [600, 1200, 2000, 6000])
+def test_phrases_beyond_the_broadcast_limit_the_same(spark, monkeypatch, limit):
+    import remap.llm.collocations as colloc
+
+    monkeypatch.setattr(colloc, "BROADCAST_BYTES", limit)  # words fit, keys of pairs, triples .. do not
+    rows = corpus(9)
+    got = mine_collocations(spark.createDataFrame(rows, "lang string, text string"), top=50, least=2, frontier=1)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 50, 2))
+
+
+def test_sums_of_many_small_blocks(spark, monkeypatch):
+    import remap.llm.collocations as colloc
+
+    monkeypatch.setattr(colloc, "HELD_KEYS", 16)  # blocks are sent and summed again and again
+    rows = corpus(4)
+    got = mine_collocations(spark.createDataFrame(rows, "lang string, text string"), top=50, least=2, frontier=1)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(rows, 50, 2))
+
+
+def test_words_cut_on_bytes_as_on_characters(monkeypatch):
+    import pyarrow as pa
+
+    import remap.llm.collocations as colloc
+
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choice("aZé漢  \x00\x1c \t.,;:!?\n\x0b\x0c\r") for _ in range(rnd.randint(0, 30)))
+             for _ in range(300)] + [None, "", " ", ".", "a"]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    pieces = [re.findall(r"[^\x20\x09]+", p) for t in texts for p in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(lower))]
+    words, cut = colloc._tokens(pa.array([t for t in texts if t is not None], pa.string()))
+    found, ends = words.to_pylist(), [i for i, c in enumerate(cut) if c and i]
+    assert [found[a:b] for a, b in zip([0, *ends], [*ends, len(found)]) if b > a] == [p for p in pieces if p]
+    monkeypatch.setattr(colloc, "TEXT_BYTES", 40)
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts, pa.string())], names=["lang", "text"])
+    counted = Counter()
+    for part in colloc._word_counts(iter([batch])):
+        for row in part.to_pylist():
+            counted[row["phrase"]] += row["f"]
+    assert counted == Counter(w for p in pieces for w in p) + Counter({"": len(found)})
+
+
+def test_writes_no_rare_words(spark):
+    """The texts are written once more as numbers of frequent words only, whatever else they hold."""
+    import os
+
+    from remap.session import recording
+
+    rnd = random.Random(3)
+    rows = [("en", " ".join("new york " + "%032x" % rnd.getrandbits(128) for _ in range(100))) for _ in range(200)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    with recording() as paths:
+        got = mine_collocations(docs, top=4, least=100).collect()
+    assert [tuple(r)[:4] for r in got] == [("en", 1, "new york", 20000)]
+    size = sum(os.path.getsize(f"{p}/{f}") for p in paths for f in os.listdir(p))
+    assert size < 0.2 * sum(len(t) for _, t in rows)
